@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import chunking, packing, survivors, tokens
+from millrace.llm import chunking, packing, sentences, survivors, tokens
 from millrace.sources.tables import table
 
 
@@ -38,5 +38,9 @@ def p9_containers(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_survivors, p8_ids, p9_containers)}
+def p10_found(spark, sf_dir):
+    return sentences.sentence_starts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_survivors, p8_ids, p9_containers, p10_found)}
 ORACLE: dict[str, str] = {}
