@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import chunking, packing, sentences, survivors, tokens
+from millrace.llm import chunking, packing, sentences, stuffing, survivors, tokens
 from millrace.sources.tables import table
 
 
+def _pages(spark, sf_dir):
+    """Texts of both tables under one page number: twice the row's id, plus one for results."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text").select((F.col("doc_id") * 2).alias("page"), stuffing.language_code(F.col("lang")).alias("lang"), "text")
+    rows = table(spark, sf_dir, "results", "result_id", "description").select((F.col("result_id") * 2 + 1).alias("page"), F.lit(None).cast("string").alias("lang"), F.col("description").alias("text"))
+    return docs.unionByName(rows)
+
+
+def p1_found(spark, sf_dir):
+    found = stuffing.stuffed_pages(_pages(spark, sf_dir))
+    return found.select(F.when(F.col("page") % 2 == 1, "results").otherwise("documents").alias("tbl"), F.floor(F.col("page") / 2).cast("bigint").alias("row_id"))
+
+
 def p3_pieces(spark, sf_dir):
     return chunking.split_long(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -42,5 +54,5 @@ def p10_found(spark, sf_dir):
     return sentences.sentence_starts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_survivors, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_survivors, p8_ids, p9_containers, p10_found)}
 ORACLE: dict[str, str] = {}
