@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import chunking, packing, sentences, stuffing, survivors, tokens
+from millrace.llm import boilerplate, chunking, packing, sentences, stuffing, survivors, tokens
 from millrace.sources.tables import table
 
 
@@ -42,6 +42,20 @@ def p4_survivors(spark, sf_dir):
     return survivors.survivors(_page_values(spark, sf_dir, fields), fields, "votes")
 
 
+def p7_found(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text").withColumn("page", F.col("doc_id") * 2)
+    extracts = table(spark, sf_dir, "extracted_documents", "extract_id", "text").select((F.col("extract_id") * 2 + 1).alias("page"), "text")
+    lines = boilerplate.find_furniture(docs.select("page", "text").unionByName(extracts))
+    stuffed = stuffing.stuffed_pages(docs.select("page", stuffing.language_code(F.col("lang")).alias("lang"), "text"))
+    lines = lines.join(stuffed, "page", "left_anti")
+    return lines.select(F.when(F.col("page") % 2 == 1, "extracted_documents").otherwise("documents").alias("tbl"), F.floor(F.col("page") / 2).cast("bigint").alias("row_id"), "line_no")
+
+
+def p7_body(spark, sf_dir):
+    """Every document's text without its furniture lines."""
+    return boilerplate.bodies(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+
+
 def p8_ids(spark, sf_dir):
     return tokens.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -54,5 +68,5 @@ def p10_found(spark, sf_dir):
     return sentences.sentence_starts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_survivors, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_survivors, p7_found, p7_body, p8_ids, p9_containers, p10_found)}
 ORACLE: dict[str, str] = {}
