@@ -42,9 +42,14 @@ def language_code(lang: Column) -> Column:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(page, lang, word, n) of ``pages`` (page, lang, text); the texts move once, hashed by page."""
+    """(page, lang, word, n, place) of ``pages`` (page, lang, text): each word's count and its place in the page's ranking.
+
+    The texts move once, hashed by page; counting and ranking then stay within a page's partition.
+    """
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD_JAVA), F.lit(0))
-    return pages.where(F.col("text").isNotNull()).repartition("page").select("page", "lang", F.explode(words).alias("word")).groupBy("page", "lang", "word").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    split = pages.where(F.col("text").isNotNull()).repartition("page").select("page", "lang", F.explode(words).alias("word"))
+    counts = split.groupBy("page", "lang", "word").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("n"), "word")))
 
 
 def prose_core(counts: DataFrame) -> dict[str, dict[str, float]]:
@@ -68,8 +73,7 @@ def curves(counts: DataFrame, core: dict[str, dict[str, float]]) -> DataFrame:
         for w, share in core[lang].items():
             words.setdefault(w, [0.0] * len(langs))[i] = share
     table = spark.createDataFrame(list(words.items()) or [("", [0.0])], "word string, shares array<double>")
-    rank = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("n"), "word"))
-    ranked = counts.join(F.broadcast(table), "word", "left").withColumns({"x": F.ln(rank.cast("double")), "y": F.ln(F.col("n").cast("double"))})
+    ranked = counts.join(F.broadcast(table), "word", "left").withColumns({"x": F.ln(F.col("place").cast("double")), "y": F.ln(F.col("n").cast("double"))})
     share = [F.sum(F.coalesce(F.get("shares", F.lit(i)), F.lit(0.0)) * F.col("n")) for i in range(max(1, len(langs)))]
     common = F.coalesce(F.array_max("shares"), F.lit(0.0))
     made = ranked.groupBy("page").agg(
