@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, chunking, packing, sentences, stuffing, survivors, tokens
+from millrace.llm import boilerplate, chunking, namevariants, packing, sentences, stuffing, survivors, tokens
 from millrace.sources.tables import table
 
 
@@ -20,6 +20,14 @@ def p1_found(spark, sf_dir):
     return found.select(F.when(F.col("page") % 2 == 1, "results").otherwise("documents").alias("tbl"), F.floor(F.col("page") / 2).cast("bigint").alias("row_id"))
 
 
+def p2_classes(spark, sf_dir):
+    return namevariants.classes(table(spark, sf_dir, "opportunities", "organization")).select("org", "class_id")
+
+
+def p2_found(spark, sf_dir):
+    return namevariants.pairs(namevariants.classes(table(spark, sf_dir, "opportunities", "organization")))
+
+
 def p3_pieces(spark, sf_dir):
     return chunking.split_long(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -68,5 +76,5 @@ def p10_found(spark, sf_dir):
     return sentences.sentence_starts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_survivors, p7_found, p7_body, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_survivors, p7_found, p7_body, p8_ids, p9_containers, p10_found)}
 ORACLE: dict[str, str] = {}
