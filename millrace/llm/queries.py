@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, chunking, namevariants, packing, sentences, stuffing, survivors, tokens
+from millrace.llm import boilerplate, chunking, namevariants, neighbours, packing, sentences, stuffing, survivors, tokens
 from millrace.sources.tables import table
 
 
@@ -50,6 +50,15 @@ def p4_survivors(spark, sf_dir):
     return survivors.survivors(_page_values(spark, sf_dir, fields), fields, "votes")
 
 
+def p6_neighbours(spark, sf_dir):
+    return neighbours.most_similar(table(spark, sf_dir, "documents", "doc_id", "embedding"))
+
+
+def p6_found(spark, sf_dir):
+    near = p6_neighbours(spark, sf_dir)
+    return near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
+
+
 def p7_found(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text").withColumn("page", F.col("doc_id") * 2)
     extracts = table(spark, sf_dir, "extracted_documents", "extract_id", "text").select((F.col("extract_id") * 2 + 1).alias("page"), "text")
@@ -76,5 +85,5 @@ def p10_found(spark, sf_dir):
     return sentences.sentence_starts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_survivors, p7_found, p7_body, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_survivors, p6_found, p6_neighbours, p7_found, p7_body, p8_ids, p9_containers, p10_found)}
 ORACLE: dict[str, str] = {}
