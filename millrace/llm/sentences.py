@@ -203,7 +203,7 @@ def _split(text: str, start: int, end: int, out: list[int]) -> None:
             continue
         if nxt in "—–-" and not (gap and (text[b + 1 : b + 2].isupper() or text[b + 1 : b + 2] in ("¿", "¡", "«", "“"))):
             continue  # a dash goes on with the sentence unless it opens someone's words
-        if opened is not None and opened == begun and _CJK.match(text[q - 2]) and (gap == 0):
+        if opened is not None and opened == begun and gap == 0 and _CJK.match(nxt):
             continue  # a quotation that begins the sentence, whose speaker follows
         kind = mark[-1]
         starts_upper = not nxt.islower() or bool(_LOWER_NAME.match(text, b, min(end, b + 4)))
