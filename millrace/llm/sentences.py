@@ -149,7 +149,7 @@ def _ends(word: str, before: str, nxt: str, rest: str) -> bool:
             return upper
         if word == "г" and before.rstrip()[-1:].isdigit():
             return upper
-        return False  # an initial
+        return word.islower() and word.isascii() and upper and not number  # else an initial
     if low in SOMETIMES:
         return upper and not number
     if "." in low and len(low) <= 6 and all(len(x) <= 2 for x in low.split(".")) and not low[0].isdigit():

@@ -57,8 +57,8 @@ def values_of_groups(rows: DataFrame, group: Column, fields: list[str], record:
     """(group, field, value, n, best, votes): one row for each distinct value, added up over its records before the shuffle ends.
 
     ``best`` orders records: trust, then time, then the negative record id. A source that the registry lacks has trust -1,
-    a missing time is before all others. ``votes`` decays by half every ``half_life_days`` before 2100-01-01, so that
-    only differences of time matter (in logarithms it would be the same order).
+    a missing time is before all others. ``votes`` decays by half every ``half_life_days`` before 2100-01-01; they
+    are compared by their logarithms, so only differences of time matter.
     """
     reg = registry.select(F.col("source").alias("__s"), F.col("trust").alias("__trust")).dropDuplicates(["__s"])
     long = rows.select(
@@ -101,7 +101,7 @@ def choose(values: DataFrame, standing: str = "best_record", least: int = 2) ->
     """
     marked = mark_beginnings(values)
     whole = stated(F.col("value")) & ~cut_off(F.col("value")) & ~F.col("beginning")
-    by = F.col("best") if standing == "best_record" else F.struct(F.round("votes", 9).alias("v"), F.col("best"))
+    by = F.col("best") if standing == "best_record" else F.struct(F.coalesce(F.round(F.log2(F.nullif(F.col("votes"), F.lit(0.0))), 9), F.lit(-1e9)).alias("v"), F.col("best"))
     won = marked.groupBy("__g", "field").agg(F.sum("n").alias("n_records"), F.max_by(F.struct("value", "best"), F.when(whole, by)).alias("w"), F.max(whole).alias("any"))
     return won.where((F.col("n_records") >= least) & F.col("any")).select("__g", "field", F.col("w.value").alias("value"), (-F.col("w.best.neg")).alias("result_id"), "n_records")
 
