@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,44 +116,53 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+#: Stated queries that go through at once.
+BLOCK = 20_000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query, key, similarity, place): for each row of ``queries`` its ``k`` nearest other rows, exact, ties to the smaller key.
 
-    Queries go through in blocks, each one matrix product with the rows of a batch; a task keeps ``k`` a query, so what
-    is shuffled is ``k`` rows a query and task. The query set must fit in memory: it is for stated sets, not self-joins.
+    For stated query sets. Queries go through in blocks of about ``block``, each broadcast in turn and multiplied as a matrix
+    with the rows of a batch; a task keeps ``k`` a query, so what moves is ``k`` rows a query and task. NULL vectors and
+    those of another length than a query's are no neighbours.
     """
-    import numpy as np
-
-    asked = [(r[key], r[vector]) for r in queries.select(key, vector).where(F.col(vector).isNotNull()).limit(100_001).collect()]
-    if len(asked) > 100_000:
-        raise ValueError("more than 100,000 queries: use a neighbour graph")
-    if not asked:
-        return vectors.select(F.col(key).alias("query"), key, F.lit(0.0).alias("similarity"), F.lit(0).alias("place")).limit(0)
-    ids = np.array([a for a, _ in asked])
-    q = np.array([v for _, v in asked], np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("v")).where(F.col(vector).isNotNull())
+    blocks = max(1, -(-asked.count() // block))
+    parts = [_nearest_block(vectors, asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i), k, key, vector) for i in range(blocks)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _nearest_block(vectors: DataFrame, asked: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    rows = asked.collect()  # one block
+    ids = np.array([r.query for r in rows], np.int64)
+    sizes = {len(r.v) for r in rows}
+    q = {n: (np.flatnonzero([len(r.v) == n for r in rows]), np.array([r.v for r in rows if len(r.v) == n], np.float64)) for n in sizes}
+    q = {n: (at, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)) for n, (at, m) in q.items()}
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches):
-        qi, qv = shared.value
+        qi, by = shared.value
         best: list[list[tuple[float, int]]] = [[] for _ in qi]
         for b in batches:
-            b = b[b[vector].map(lambda v: v is not None and len(v) == qv.shape[1])]
-            if not len(b):
-                continue
-            x = np.stack(b[vector].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            keys = b[key].to_numpy()
-            s = np.round(qv @ x.T, 12)
-            for i, row in enumerate(s):
-                order = np.lexsort((keys, -row))[: k + 1]
-                best[i] = sorted(best[i] + [(-row[j], int(keys[j])) for j in order if keys[j] != qi[i]])[:k]
-        rows = [(int(qi[i]), n, -s) for i, found in enumerate(best) for s, n in found]
-        yield pd.DataFrame(rows, columns=["query", key, "similarity"])
-
-    partial = vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"query bigint, {key} bigint, similarity double")
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return partial.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+            length = b[vector].map(len)
+            for n, (at, m) in by.items():
+                part = b[length == n]
+                if not len(part):
+                    continue
+                x = np.stack(part[vector].to_numpy()).astype(np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                keys = part[key].to_numpy()
+                for i, row in zip(at.tolist(), np.round(m @ x.T, 12), strict=True):
+                    order = np.lexsort((keys, -row))[: k + 1]
+                    best[i] = sorted(best[i] + [(-row[j], int(keys[j])) for j in order if keys[j] != qi[i]])[:k]
+        yield pd.DataFrame([(int(qi[i]), n, -s) for i, found in enumerate(best) for s, n in found], columns=["query", key, "similarity"])
+
+    return vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"query bigint, {key} bigint, similarity double")
 
 
 def contains_all(text: Column, query: str) -> Column:

@@ -195,7 +195,7 @@ where score > 0 order by score desc, doc_id limit 20""",
     "source_counts": "select source, count(*) n, count(distinct url) urls from results group by source",
     "usable_results": "select result_id from results where trim(coalesce(title, ''), ' ') <> '' and length(trim(coalesce(description, ''), ' ')) > 50",
     "union_sources": """select url, title, source, ord from (select url, title, source, arrival ord from results union all select url, title, 'small-web', entry_row + 1000000000 from feed_entries) where url <> '' and title <> '' qualify row_number() over (partition by url order by ord) = 1""",
-    "joined_texts": "select source, rank, string_agg(description, ' ' order by arrival) as text from (select * from results where description is not null and rank is not null qualify row_number() over (partition by source, rank order by arrival) <= 6) group by all",
+    "joined_texts": "select url, string_agg(description, ' ' order by arrival) as text from results where description is not null group by url",
     "page_signals": f"select doc_id, name, score from ({signal_rows(True)})",
     "page_confidence": f"select doc_id, greatest(0, least(coalesce(t, 0) + 40, 100))::int confidence from documents left join (select doc_id, sum(score) t from ({signal_rows(False)}) group by doc_id) using (doc_id)",
     "intelligence_summary": f"""with f as (select name, score, min(doc_id * 1000 + pos) spot from ({signal_rows(False)}) group by all) select count(*) n_signals, greatest(0, least(coalesce(sum(score), 0) + 40, 100))::int confidence,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -222,11 +221,9 @@ def union_sources(spark, d):
 
 @query
 def joined_texts(spark, d):
-    """Descriptions of a source joined in order of arrival, whole; the first six of each page number stand for a scan's answer."""
-    r = results(spark, d).where(F.col("description").isNotNull() & F.col("rank").isNotNull())
-    w = Window.partitionBy("source", "rank").orderBy("arrival")
-    few = r.withColumn("i", F.row_number().over(w)).where("i <= 6")
-    return few.groupBy("source", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "description"))), lambda x: x["description"]), " ").alias("text"))
+    """Descriptions of a URL joined in order of arrival."""
+    r = results(spark, d).where(F.col("description").isNotNull())
+    return r.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "description"))), lambda x: x["description"]), " ").alias("text"))
 
 
 # ── signals, lenses ──
