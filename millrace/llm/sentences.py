@@ -38,6 +38,7 @@ GERMAN_MONTHS = "januar februar märz april mai juni juli august september oktob
 
 _OPEN = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》"}
 _CLOSE = set("”“»›」』）)]】》\"'’")
+_FRENCH = {" »", "\u00a0»", "\u202f»"}
 _FULL = set("。！？｡।॥؟۔։።፧၊။។‼⁇⁈⁉")
 _TOKEN = re.compile(r"[.!?…。！？｡।॥؟۔։።፧။។‼⁇⁈⁉]+|[“”„«»‹›「」『』（）()\[\]【】《》\"]")
 _TERMINATORS = ".!?…" + "".join(_FULL)
@@ -48,6 +49,7 @@ _TABLE = re.compile(r"\|.*\||\t.*\t")
 _SEPARATED = re.compile(r"\s{2,}|\s+[|·•>»›/]\s+|\s*\|\s*")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])[  ]+(?=[฀-๿])")
 _WORD = re.compile(r"[^\s\"“”„«»‹›「」『』（）()\[\]【】《》]*$")
+_ROMAN = re.compile(r"(?=[IVXLC])X{0,3}(?:IX|IV|V?I{0,3})(?:\([a-z0-9]\))?(?![A-Za-z])")
 _LOWER_NAME = re.compile(r"[a-z]-[a-z]|[a-z][A-Z]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
 #: A pair of marks with more between is taken for stray marks.
@@ -134,7 +136,7 @@ def _ends(word: str, before: str, nxt: str, rest: str) -> bool:
     low = word.lower().lstrip("'’-–—")
     if low[:2] in ("l'", "d'", "l’", "d’"):
         low = low[2:]
-    number = nxt.isdigit() or nxt == "№"
+    number = nxt.isdigit() or nxt == "№" or bool(_ROMAN.match(rest))
     upper = nxt.isupper() or nxt in "\"“„«‹「(（[¿¡" or (nxt.isalpha() and not nxt.islower()) or bool(_LOWER_NAME.match(rest))
     if low in NEVER:
         return False
@@ -187,6 +189,8 @@ def _split(text: str, start: int, end: int, out: list[int]) -> None:
             continue
         e = at + len(mark)
         q, opened = e, None
+        if text[e : e + 2] in _FRENCH:
+            q, opened = e + 2, opens.get(e + 1)
         while q < end and text[q] in _CLOSE:
             if q in opens:
                 opened = opens[q]
