@@ -28,7 +28,10 @@ from millrace.sources.staging import staged
 CORE, LANGUAGES = 1500, 16
 _SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}"
 #: Words; scripts without spaces give runs of two or three characters of one script.
-WORD_JAVA = rf"[\p{{IsHan}}]{{1,2}}|[\p{{IsHiragana}}]{{1,3}}|[\p{{IsKatakana}}ー]{{1,4}}|[\p{{IsThai}}]{{1,3}}|[\p{{L}}\p{{M}}\p{{N}}&&[^{_SPACELESS}]]+"
+WORD_JAVA = (
+    r"[a-z0-9]++(?![\p{L}\p{M}\p{N}])|"  # most words, without the costly class
+    rf"[\p{{IsHan}}]{{1,2}}|[\p{{IsHiragana}}]{{1,3}}|[\p{{IsKatakana}}ー]{{1,4}}|[\p{{IsThai}}]{{1,3}}|[\p{{L}}\p{{M}}\p{{N}}&&[^{_SPACELESS}]]++"
+)
 WORD_PYTHON = r"(?V1)\p{Han}{1,2}|\p{Hiragana}{1,3}|[\p{Katakana}ー]{1,4}|\p{Thai}{1,3}|[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}]]+"
 # Three-letter language codes and their two-letter ones.
 CODES = {"eng": "en", "fra": "fr", "fre": "fr", "ger": "de", "deu": "de", "spa": "es", "rus": "ru", "jpn": "ja", "zho": "zh", "chi": "zh", "ara": "ar", "tha": "th", "hin": "hi"}
