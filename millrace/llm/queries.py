@@ -59,6 +59,12 @@ def p6_found(spark, sf_dir):
     return near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
 
 
+def p6_search(spark, sf_dir):
+    """The documents whose id is divisible by 20 as queries against all."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "embedding")
+    return neighbours.search(docs, docs.where(F.col("doc_id") % 20 == 0))
+
+
 def p7_found(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text").withColumn("page", F.col("doc_id") * 2)
     extracts = table(spark, sf_dir, "extracted_documents", "extract_id", "text").select((F.col("extract_id") * 2 + 1).alias("page"), "text")
@@ -85,5 +91,5 @@ def p10_found(spark, sf_dir):
     return sentences.sentence_starts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_survivors, p6_found, p6_neighbours, p7_found, p7_body, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_survivors, p6_found, p6_neighbours, p6_search, p7_found, p7_body, p8_ids, p9_containers, p10_found)}
 ORACLE: dict[str, str] = {}
