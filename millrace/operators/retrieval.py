@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import SEARCH_STOP, rolling_hash, signed32, terms
+from millrace.sources.staging import staged
 
 #: BM25's saturation and length weight, width of the hashed term vectors.
 K1, B, WIDTH = 1.2, 0.75, 128
@@ -96,6 +97,7 @@ def hybrid(docs: DataFrame, query: str, alpha: float = 0.5, key: str = "doc_id",
     """(key, bm25, cosine, score): both scores scaled by their maximum, which counts as 1 at least, and blended by ``alpha`` within 0 and 1."""
     a = max(0.0, min(1.0, alpha))
     both = bm25(docs, query, key, text).withColumnRenamed("score", "bm25").join(term_cosine(docs, query, key, text), key, "left").withColumn("cosine", F.coalesce("similarity", F.lit(0.0)))
+    both = staged(both.select(key, "bm25", "cosine"), "hybrid")
     most = both.agg(F.max("bm25").alias("b"), F.max("cosine").alias("c")).first()
     mb, mc = max(most["b"] or 0.0, 1.0), max(most["c"] or 0.0, 1.0)
     return both.select(key, "bm25", "cosine", (a * F.col("bm25") / mb + (1 - a) * F.col("cosine") / mc).alias("score"))

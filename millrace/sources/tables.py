@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables of fewer bytes are left as they are stored.
+SMALL = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """``<sf_dir>/<name>.parquet`` with only ``columns`` (all if none), so that the scan reads nothing else."""
+    """``<sf_dir>/<name>.parquet`` with only ``columns`` (all if none), so that the scan reads nothing else.
+
+    A file of one row group is one task's. Where a table has so few that most cores would idle, its rows are spread over
+    them; a table of as many splits as there are cores is read as it lies.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SMALL and 2 * plan.toRdd().getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
