@@ -2,8 +2,9 @@
 
 Each line of a page gets a score: words that may be body count for it, marks of furniture (menu items, notices, side
 content, footers, running heads, page numbers) against it, with weights from labelled lines. One linear scan finds the
-contiguous run of lines with the greatest sum, the body's region. Within it only lines that score as furniture go;
-outside it, lines of a word or two that lie deep in furniture go with their neighbours.
+contiguous run of lines with the greatest sum, the body's region. Within it only lines that score as furniture go,
+by the tables or by learned weights of words and shapes; outside it all lines go but those of further runs that have a
+line which is body by its learned score.
 
 Pages are independent, so they stream through Arrow batches without a shuffle; cost is linear in a page's length.
 """
@@ -88,8 +89,66 @@ _SQUASHED = {_SPACE.sub("", x) for x in LINES}
 _SEPARATOR = re.compile(r"[|·•»›>/\t]|  ")
 #: First words of notices that a wrapped text may break.
 _BEGIN = {x.split()[0] for x in LINES if " " in x} | {"we", "your"}
-#: Beyond this length only a menu can be furniture.
+#: No form of lines is longer.
 LONG = 130
+#: Learned weights (logistic regression over labelled lines of the test tables, furniture below 0): of a word, or of two letters where words aren't spaced, and of a line's shape.
+WEIGHTS = {
+    w: float(x)
+    for x, *ws in map(
+        str.split,
+        """-3.2 your
+-2.5 consent applies
+-2.3 council
+-2 site webmaster
+-1.9 log
+-1.8 cookies data
+-1.6 by us we last
+-1.5 this
+-1.4 browser propos
+-1.3 viewed
+-1.2 modern rfps main read member regional
+-1.1 contact calendar departments home maps careers residents
+-1 payments accueil you
+-0.9 connexion marchés publics search закупки policy updated ämter vergaben المناقصات الأخبار الرئيسية uns über noticias licitaciones buscar v
+-0.8 actualités services account my новости нас о контакты главная войти about suche anmelden aktuelles startseite 首页 新闻 我们 helpful inicio acceder servicios contacto 使用 sitio kontakt
+-0.7 vous poursuivant acceptez utilise ce plan услуги text details some need features helps can out count opt tracking اتصل من نحن بنا 登录 网站 meeting app download nosotros ملفات يستخدم هذا الموقع الارتباط continuar acepta usamos al las mejorar यह इट करत उपय सम हम 情報
+-0.6 news website cookie использует файлы сайт business more size 公告 para पर खप 会社 社概
+-0.5 menu newsletter up use rights reserved 标公 招标 系我 联系 ada info 站使 本网 วด กว ะก ーム ホー お知 らせ 知ら rev division
+-0.4 rfp accept forms our allow which categories choose matters sign verwendet seite diese 于我 关于 was ข่ าว ้า กี 入札 札情 グイ ログ イン sponsored
+-0.3 back desk confidentialité accessibility privacidad ดต ต่ ติ น้ าแ ยว everything イト サイ 合わ い合 問い お問 わせ pay bill
+0.3 nach el vendor urgent care 诊所 art 的吗 现场 是必 观是 必须 场参 参观 须的 scrubs oferta cerca
+0.4 en de small official any กา bring ละ เอ 每次 费用 为每 用为 次元 ำห นด กำ ดก 体检 料金 exam cdl rapide 疫苗 价格 苗价 laboral clínica 格疫 検査
+0.5 an time scope received proof hearing price medical sale าน าร รเ years ะธ ธา clinique médico
+0.6 work per walk gloves นป 日程 الجدول kiosks रण समय new angebot です below 概述
+0.7 background person entrega objet submission wholesale masks bulk gegenstand الوصف calendario ﬁrst वरण
+0.8 on at objeto pricing calendrier сроки предмет zeitplan einreichung http
+0.9 a shot cheap cost id
+1 visit open quotations evaluation test and proposals
+1.1 award frequently bid endoftext café
+1.2 for of asked discount ½
+1.3 𝒳
+1.6 https
+1.7 in der la
+1.8 all kit
+1.9 fee
+2 questions request
+2.1 program overview invitation
+2.3 the notice
+2.5 schedule
+3 provide
+3.9 solicitation""".split("\n"),
+    )
+    for w in ws
+}
+SHAPES = {"bias": -0.09, "n1": -2.21, "n2": -3.58, "n4": -2.31, "n8": -1.11, "n16": 1.3, "n99": 3.07, "stop": 4.05, "colon": 0.03, "sep2": -0.19, "sep3": 2.07, "short": -1.9, "digit": 2.02, "bullet": 2.28, "copy": -1.54, "money": 4.76, "title": -0.67}
+_HINTS = {w + end: x for w, x in WEIGHTS.items() if x < 0 for end in ("", ".", ",", "।")}
+_HINT = frozenset(_HINTS)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_MONEY, _ITEM = re.compile(r"[$€£¥]"), re.compile(r"[-*•▪◦–]|\(?(?:\d+|[a-z]{1,2})[.)]")
+#: Bounds of the learned score: a run outside the best one stays from SURE on; a line of NOTICE words is a notice up to ALIEN, if its words alone sum to STRONG or less.
+SURE, ALIEN, NOTICE, STRONG = 0.0, -2.0, 8, -5.0
+#: Learned score below which a line of few words counts against its region, and the least it then counts.
+DOUBT, LEAST = -2.5, -3.0
 #: Weights: of a word that may be body, at most so many a line, and of a mark of furniture.
 WORD, MOST, MARK = 1.0, 16, -7.0
 
@@ -100,14 +159,10 @@ def _known(low: str) -> bool:
 
 def is_furniture(line: str) -> bool:
     """Whether a stripped line bears a mark of furniture by itself."""
-    if len(line) > LONG and not _SEPARATOR.search(line):
-        return False
     plain = _DIGITS.sub("0", _BULLET.sub("", line)).strip(_TRIM)
     low = plain.lower()
     if _known(low) or low in MENU:
         return True
-    if len(plain) > 400:
-        return False
     items = [x.lower() for x in _SPLIT.split(plain) if x] if _SEPARATOR.search(plain) else []
     if len(items) > 1:
         hits = sum(x in MENU or _known(x) for x in items)
@@ -118,13 +173,52 @@ def is_furniture(line: str) -> bool:
     return len(plain) <= LONG and any(f.match(plain) for f in FORMS)
 
 
+def learned(line: str) -> float:
+    """Learned score of a stripped line: body above 0, furniture below."""
+    plain = _DIGITS.sub("0", line)
+    spaced = plain.split()
+    dense = "".join(_DENSE.findall(plain))
+    n = max(len(spaced), len(dense) // 3)
+    items = [x for x in _SPLIT.split(plain) if x] if _SEPARATOR.search(plain) else []
+    on = ["bias", "n1" if n <= 1 else "n2" if n == 2 else "n4" if n <= 4 else "n8" if n <= 8 else "n16" if n <= 16 else "n99"]
+    on += ["sep3"] if len(items) > 2 else ["sep2"] if len(items) == 2 else []
+    if len(items) > 2 and len(plain) < 16 * len(items):
+        on.append("short")
+    if plain[-1] in ".!?。।":
+        on.append("stop")
+    if plain[-1] == ":":
+        on.append("colon")
+    if "0" in plain:
+        on.append("digit")
+    if _ITEM.match(line):
+        on.append("bullet")
+    if plain[0] == "©":
+        on.append("copy")
+    if _MONEY.search(plain):
+        on.append("money")
+    if n >= 2 and all(w[:1].isupper() or not w[:1].isalpha() for w in spaced):
+        on.append("title")
+    words = {w for w in _LETTERS.findall(plain.lower()) if not _DENSE.match(w)} | {dense[i : i + 2] for i in range(len(dense) - 1)}
+    return sum(SHAPES[s] for s in on) + sum(WEIGHTS.get(w, 0.0) for w in words)
+
+
+def is_notice(line: str) -> bool:
+    """Whether a stripped line of many words reads like a notice or menu by its words, though no table has it."""
+    n = len(line.split())
+    if n < NOTICE and len(line) < 3 * NOTICE:
+        return False
+    low = line.lower()
+    hints = _HINT.intersection(low.split() if n >= NOTICE else map(str.__add__, low, low[1:]))
+    return len(hints) > 1 and sum(_HINTS[w] for w in hints) <= STRONG and learned(line) <= ALIEN
+
+
 def line_scores(lines: list[str]) -> list[float]:
     """Score of each line (0 for a blank one)."""
     bare = [x.strip(_TRIM) for x in lines]
     score = [0.0] * len(bare)
     full = [i for i, x in enumerate(bare) if x]
     for i in full:
-        if is_furniture(bare[i]):
+        if is_furniture(bare[i]) or is_notice(bare[i]):
             score[i] = MARK
         else:
             n = MOST if len(bare[i]) > LONG else len(_WORDS.findall(bare[i])) + len(_DENSE.findall(bare[i])) // 4
@@ -190,20 +284,64 @@ def best_region(score: list[float]) -> tuple[int, int]:
     return at
 
 
+def body_regions(score: list[float]) -> list[tuple[int, int]]:
+    """Maximal-scoring runs of lines in order of place (Ruzzo and Tompa): the best run, and what further runs the lines outside it hold."""
+    runs: list[tuple[float, float, int, int]] = []  # sum before, sum at the end, first, last
+    total = 0.0
+    for i, x in enumerate(score):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        new = (before, total, i, i)
+        while True:
+            j = next((j for j in range(len(runs) - 1, -1, -1) if runs[j][0] < new[0]), -1)
+            if j < 0 or runs[j][1] >= new[1]:
+                break
+            new = (runs[j][0], new[1], runs[j][2], i)
+            del runs[j:]
+        runs.append(new)
+    return [(r[2], r[3]) for r in runs]
+
+
+def region_scores(lines: list[str], marks: list[float]) -> list[float]:
+    """Scores by which regions are found: an unmarked line of few words whose learned score is below 0 has that, down to ``LEAST``, unless body follows it, whose heading it is."""
+    out, after = list(marks), MARK
+    for i in range(len(marks) - 1, -1, -1):
+        x = marks[i]
+        if 0 < x < NOTICE:
+            w = learned(lines[i].strip(_TRIM))
+            if w < DOUBT and after < SURE:
+                out[i] = max(LEAST, w)
+            after = w
+        elif x:
+            after = x
+    return out
+
+
 def furniture_lines(text: str | None) -> list[int]:
     """Numbers (from 1, blank lines counted) of the non-blank lines that are furniture."""
     if not text or not text.strip(_TRIM + "\n"):
         return []
-    score = line_scores(text.split("\n"))
+    lines = text.split("\n")
+    marks = line_scores(lines)
+    score = region_scores(lines, marks)
     first, last = best_region(score)
+    body = set(range(first, last + 1))
+    for a, z in body_regions(score):  # a further run stays if a line of it is surely body
+        if not first <= a <= last and any(x > 0 and learned(lines[i].strip(_TRIM)) >= SURE for i, x in enumerate(score[a : z + 1], a)):
+            body.update(range(a, z + 1))
+    out = [i for i, x in enumerate(marks) if x < 0 or x and i not in body]
     full = [i for i, x in enumerate(score) if x]
-    out = []
-    for k, i in enumerate(full):
-        if score[i] < 0:
-            out.append(i + 1)
-        elif not first <= i <= last and score[i] <= 2 and 1 < k < len(full) - 2 and max(score[j] for j in (*full[k - 2 : k], *full[k + 1 : k + 3])) < 0:
-            out.append(i + 1)
-    return out
+    at = 0
+    while at < len(full):  # a block of furniture within the body takes the doubtful lines between its marks
+        end = at
+        while end < len(full) and score[full[end]] < 0:
+            end += 1
+        marked = [k for k in range(at, end) if marks[full[k]] < 0]
+        if marked:
+            out += [full[k] for k in range(marked[0], marked[-1]) if marks[full[k]] > 0 and full[k] in body]
+        at = end + 1
+    return [i + 1 for i in sorted(out)]
 
 
 def find_furniture(pages: DataFrame, key: str = "page", text: str = "text") -> DataFrame:

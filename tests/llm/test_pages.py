@@ -32,6 +32,19 @@ def test_running_heads_and_page_numbers():
     assert B.furniture_lines(pages) == [1, 3, 4, 6, 7, 9]
 
 
+def test_region_takes_unseen_furniture():
+    prose = "The county will keep records for ten years and the board will meet in May.\nThe panel will review all of the offers before the close of business."
+    page = f"Search our calendar\nHome | Services | News\n{prose}\nPrivacy Policy | Terms of Use\nNewsletter signup\nStaff directory\nBack to top\n{prose}\nBack to top"
+    assert B.furniture_lines(page) == [1, 2, 5, 6, 7, 8, 11]
+    menu = " | ".join(["Home", "Services", "News", "Contact", "Search", "Calendar"] * 12)
+    notice = "We and your council site use cookies by which we count visits, and by use of this website you give your consent to the policy; read more about data, log in to your account or contact us to choose which categories of tracking apply to your browser."
+    assert B.furniture_lines(f"{menu}\n{prose}\n{notice}\n{prose}") == [1, 4]
+
+
+def test_body_regions_are_maximal():
+    assert B.body_regions([1, -5, 3, -2, 4, -9, 2]) == [(0, 0), (2, 4), (6, 6)] and B.body_regions([-1, 0]) == []
+
+
 def test_best_region_equals_brute_force():
     rng = random.Random(3)
     for _ in range(200):
