@@ -8,8 +8,9 @@ name looks up that hub, so no entry's names are paired with each other however m
 better attested one a single edit away; well attested names stay apart.
 
 Then words are aligned: given names, initials and nicknames against the full given names known with that family name,
-and each spelling's words against its class's best attested spelling by optimal assignment, which takes initials,
-abbreviations and small edits for a match and sends away what doesn't fit.
+and by optimal assignment each person's words against those of the class, middle initials too, and the kind words of a
+body of one spelling against the better attested kinds of its place, where it may leave out a qualifier or misspell a
+short word. What fits nowhere is a class of its own.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ NICKNAMES = {
 }
 #: Words of form, left out where another kind word says what the body does.
 FORMS = {"department", "office", "division", "agency", "bureau"}
+#: Words that a body's spelling may leave out where no other body of the place has its other words.
+QUALIFIERS = set("borough city community consolidated county general government independent joint municipal parish province public regional state town township unified village".split())
 _KINDSET = set(KINDS)
 _NOTE = re.compile(r"\((?:[^()]*)\)|\battn\b[:.]?", re.I)
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|&", re.U)
@@ -90,6 +93,21 @@ def kind_word(token: str) -> str:
     return ""
 
 
+def slips(org: str) -> list[tuple[str, str]]:
+    """(kind, name) of a body's spelling under each reading of one short word of its name as a misspelt kind word."""
+    kind, name, _, _ = parse(org)
+    if not kind or kind == "person" or not name:
+        return []
+    out = []
+    for w in {x.lower() for x in _TOKEN.findall(unicodedata.normalize("NFKC", org))}:
+        if 4 <= len(w) <= 5 and not kind_word(w) and (bare := _letters(w)) in name and bare != name:
+            for k in KINDS:
+                if w[0] == k[0] and one_edit(w, k):
+                    words = set(kind.split()) | {k}
+                    out.append((" ".join(sorted(words - FORMS or words)), name.replace(bare, "", 1)))
+    return out
+
+
 def _letters(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if c.isalnum())
 
@@ -182,15 +200,36 @@ def alignment(a: list[str], b: list[str]) -> float:
     return min(best.values()) / len(a)
 
 
-def _fits(kind: str, a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
-    """Whether two parsed spellings (name, given, middle) of one class align."""
+def _fits(kind: str, a: tuple[str, str, str], b: tuple[str, str, str], other: str = "") -> bool:
+    """Whether two parsed spellings (name, given, middle) align: of one kind, or of bodies of kinds ``kind`` and ``other``."""
     if kind != "person":
-        return True
+        x, y = set(kind.split()), set((other or kind).split())
+        return x == y or bool(x & y - QUALIFIERS) and (x ^ y) <= QUALIFIERS and (x < y or y < x) and alignment([*x], [*y]) <= 0.1
     if a[2] and b[2] and a[2] != b[2]:
         return False
     return alignment([x for x in (a[1], a[0]) if x], [x for x in (b[1], b[0]) if x]) <= 0.5
 
 
+def _joined(both: DataFrame) -> DataFrame:
+    """``both`` (world, kind, hub, who, alts ...) with bodies of one spelling moved to the class they align with, if there is exactly one such of more spellings."""
+    known = both.where("world = 'place'").groupBy("kind", "hub").agg(F.count(F.lit(1)).alias("m"))
+    alone = both.where("world = 'place'").join(known.where("m = 1"), ["kind", "hub"])
+    slipped = alone.select("org", F.explode("alts").alias("alt")).select("org", F.col("alt.kind").alias("to_kind"), F.col("alt.name").alias("to_hub"), F.lit(True).alias("fit"))
+
+    @F.pandas_udf("boolean")
+    def align(kind: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([_fits(k, ("", "", ""), ("", "", ""), o) for k, o in zip(kind, other, strict=True)], index=kind.index)
+
+    stated = known.where("m > 1").select(F.col("kind").alias("to_kind"), F.col("hub").alias("to_hub"))
+    short = alone.select("org", "kind", "hub").join(stated, F.col("hub") == F.col("to_hub")).where(F.col("kind") != F.col("to_kind"))
+    short = short.select("org", "to_kind", "to_hub", align("kind", "to_kind").alias("fit"))
+    to = slipped.join(stated, ["to_kind", "to_hub"]).select("org", "to_kind", "to_hub", "fit").unionByName(short).where("fit")
+    to = to.groupBy("org").agg(F.collect_set(F.struct("to_kind", "to_hub")).alias("to")).where(F.size("to") == 1).select("org", F.col("to")[0].alias("to"))
+    got = both.join(to, "org", "left")
+    kind = F.coalesce("to.to_kind", "kind")
+    return got.withColumn("who", F.when(F.col("world") == "place", kind).otherwise(F.col("who"))).withColumn("hub", F.coalesce("to.to_hub", "hub")).withColumn("kind", kind).drop("to")
+
+
 def classes(rows: DataFrame, column: str = "organization") -> DataFrame:
     """(org, class_id): every spelling that names a body or person, with its class; spellings of one class name the same.
 
@@ -201,9 +240,10 @@ def classes(rows: DataFrame, column: str = "organization") -> DataFrame:
     def run(batches):
         for b in batches:
             made = pd.DataFrame([parse(o) for o in b.org], columns=["kind", "name", "given", "middle"], index=b.index)
+            made["alts"] = [[{"kind": k, "name": n} for k, n in slips(o)] for o in b.org]
             yield pd.concat([b, made], axis=1)
 
-    parsed = orgs.mapInPandas(run, "org string, n bigint, kind string, name string, given string, middle string").where(F.col("kind") != "")
+    parsed = orgs.mapInPandas(run, "org string, n bigint, kind string, name string, given string, middle string, alts array<struct<kind:string,name:string>>").where(F.col("kind") != "")
     parsed = staged(parsed.withColumn("world", F.when(F.col("kind") == "person", "person").otherwise("place")), "parsed-names")
 
     names = parsed.where(F.length("name") >= 5).groupBy("world", "name").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
@@ -231,17 +271,20 @@ def classes(rows: DataFrame, column: str = "organization") -> DataFrame:
     slip = (F.length("given") > 1) & (F.col("given") != F.col("best.given")) & (F.levenshtein("given", F.col("best.given")) <= 2) & (F.length("given") >= 5) & ~F.array_contains("often", F.col("given"))
     alone = F.size("often") <= 1
     people = people.withColumn("who", F.when(F.coalesce(slip, F.lit(False)), F.col("best.given")).when((F.length("given") <= 1) & (F.length("given") > 0) & alone, F.coalesce("best.given", "given")).otherwise(F.col("given")))
-    cols = ["org", "n", "kind", "name", "given", "middle", "hub", "who"]
-    both = bodies.select(*cols).unionByName(people.select(*cols)).where(F.col("hub") != "")
-
-    by = Window.partitionBy("kind", "hub", "who").orderBy(F.desc("n"), "org")
-    top = both.withColumn("r", F.row_number().over(by)).where("r = 1").select("kind", "hub", "who", F.col("org").alias("rep"), F.struct("name", "given", "middle").alias("rp"))
+    cols = ["org", "n", "world", "kind", "name", "given", "middle", "hub", "who", "alts"]
+    both = _joined(staged(bodies.select(*cols).unionByName(people.select(*cols)).where(F.col("hub") != ""), "placed-names"))
+    # the middle initial that most rows of a class have; other initials are other persons
+    middles = both.where("middle != ''").groupBy("kind", "hub", "who", "middle").agg(F.sum("n").alias("n"))
+    top = middles.groupBy("kind", "hub", "who").agg(F.max(F.struct("n", "middle")).getField("middle").alias("initial"))
 
     @F.pandas_udf("boolean")
-    def fits(kind: pd.Series, name: pd.Series, given: pd.Series, hub: pd.Series, who: pd.Series) -> pd.Series:
-        return pd.Series([_fits(k, (n, g, ""), (h, w, "")) for k, n, g, h, w in zip(kind, name, given, hub, who, strict=True)], index=kind.index)
+    def fits(kind: pd.Series, name: pd.Series, given: pd.Series, middle: pd.Series, hub: pd.Series, who: pd.Series, initial: pd.Series) -> pd.Series:
+        return pd.Series([_fits(k, (n, g, m), (h, w, i)) for k, n, g, m, h, w, i in zip(kind, name, given, middle, hub, who, initial, strict=True)], index=kind.index)
 
-    return both.join(top, ["kind", "hub", "who"]).where(fits("kind", "name", "given", "hub", "who")).select("org", "n", F.xxhash64("kind", "hub", "who").alias("class_id"), "kind", "hub", "who")
+    got = both.join(top, ["kind", "hub", "who"], "left").withColumn("initial", F.coalesce("initial", F.lit("")))
+    fit = fits("kind", "name", "given", "middle", "hub", "who", "initial")
+    own = F.when(fit, F.xxhash64("kind", "hub", "who")).otherwise(F.xxhash64("kind", "name", "given", "middle"))
+    return got.select("org", "n", own.alias("class_id"), "kind", "hub", "who")
 
 
 def pairs(classed: DataFrame, block: int = 256) -> DataFrame:

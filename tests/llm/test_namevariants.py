@@ -25,6 +25,18 @@ def test_classes_and_pairs(spark):
     assert pairs == {(a, b) for g in SAME for a in g for b in g if a < b}
 
 
+def test_kind_words_and_middle_initials_are_aligned(spark):
+    one = ["Balna Varlford County Health Department", "BALNA VARLFORD CNTY HLTH DEPT", "Balna Varlford Health Department"]
+    two = ["Kenpint Ningrwick School District", "Kenpint Ningrwick Sch. Dist.", "Kenpint Ningrwick Schol District"]
+    three = ["Balna Varlford County", "County of Balna Varlford"]
+    four, five = ["Theodore R. Centahossgun", "Theodore Centahossgun"], ["Theodore K. Centahossgun"]
+    rows = [(o,) for g in (one, two, three, four, five) for o in g] + [(o,) for o in four] * 2
+    by = {}
+    for r in N.classes(spark.createDataFrame(rows, "organization string")).collect():
+        by.setdefault(r.class_id, set()).add(r.org)
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, [one, two, three, four, five]))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(None,)], "organization string")
     assert N.pairs(N.classes(df)).count() == 0 and N.pairs(N.classes(df.limit(0))).count() == 0
