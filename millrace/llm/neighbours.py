@@ -7,12 +7,14 @@ meet in blocks instead: every node takes the least label in its neighbourhood, t
 labels among its neighbours, so that two nodes with a common neighbour share a block; a block is one matrix product.
 
 Vectors move as bytes: 8 bits an entry in buckets, 12 in blocks (an error of about 3e-5 of a cosine). A bucket or
-block beyond ``CHUNK`` rows is spread over chunks by hash; what a chunk boundary separates, the next round's common
-neighbours bring together. Number of buckets follows the number of rows, so work grows as rows times bucket size.
+block beyond ``CHUNK`` rows is sorted and split by further hash coordinates; what a chunk boundary separates, the next
+rounds' common neighbours bring together. Rounds end when few neighbours change. Number of buckets follows the number of rows, so work grows as rows times bucket size.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,6 +24,8 @@ from millrace.sources.staging import staged
 
 #: Rows compared at once at most, expected rows of a bucket, tables of buckets, buckets a vector visits in each, neighbours kept beyond those asked for.
 CHUNK, BUCKET, TABLES, PROBES, SPARE = 8192, 2048, 2, 2, 1
+#: Share of new neighbours below which rounds end, and rounds at most.
+DELTA, MOST = 0.02, 8
 #: Rows of a product of matrices.
 ROWS = 1024
 SEED = 20_240_229
@@ -106,6 +110,17 @@ def codes(x: np.ndarray, rotation: np.ndarray, first: int, second: int, probes:
     return code.astype(np.int64)
 
 
+def further(x: np.ndarray, number: int) -> np.ndarray:
+    """A further code of each row by which a bucket or block beyond ``CHUNK`` is sorted and split: its three largest coordinates after another rotation."""
+    h = x @ _rotation(x.shape[1], 1000 + number)
+    top = np.argsort(-np.abs(h), axis=1)[:, :3]
+    sign = np.take_along_axis(h, top, 1) > 0
+    code = np.zeros(len(x), np.int64)
+    for j in range(top.shape[1]):
+        code = code * (2 * x.shape[1]) + top[:, j] * 2 + sign[:, j]
+    return code
+
+
 def _bucketed(nodes: DataFrame, rows: int, dim: int) -> DataFrame:
     """(bucket, node, v): each node of a task in its buckets, vectors in 8 bits with the scale that fills them."""
     first, second = _bucket_plan(rows, dim)
@@ -128,11 +143,11 @@ def _bucketed(nodes: DataFrame, rows: int, dim: int) -> DataFrame:
             parts = []
             for t, r in enumerate(rotations):
                 c = codes(x, r, first, second) * TABLES + t
-                parts.append((c.ravel(), np.repeat(np.arange(len(x)), c.shape[1])))
-            code, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(node[at]), _binary(small[at])], names=["block", "node", "v"])
+                parts.append((c.ravel(), np.repeat(np.arange(len(x)), c.shape[1]), np.repeat(further(x, t), c.shape[1])))
+            code, at, more = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(node[at]), _binary(small[at]), pa.array(more)], names=["block", "node", "v", "more"])
 
-    return nodes.select("node", "vector").mapInArrow(run, "block bigint, node bigint, v binary")
+    return nodes.select("node", "vector").mapInArrow(run, "block bigint, node bigint, v binary, more bigint")
 
 
 def _compare(blocks: DataFrame, unpack, width: int, dim: int, keep: int) -> DataFrame:
@@ -210,30 +225,34 @@ def _merged(found: DataFrame, keep: int) -> DataFrame:
     lists = found.groupBy("node").agg(F.flatten(F.collect_list("near")).alias("all"))
     by = F.array_sort("all", lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0))
     ids = F.slice(F.array_distinct(F.transform(by, lambda x: x["n"])), 1, keep)
-    return lists.select("node", ids.alias("near"))
+    best = lists.select("node", by.alias("all"), ids.alias("near"))
+    scored = F.transform("near", lambda n: F.struct(F.element_at(F.filter("all", lambda x: x["n"] == n), 1)["s"].alias("s"), n.alias("n")))
+    return best.select("node", "near", scored.alias("scored"))
 
 
-def _spread(blocks: DataFrame) -> DataFrame:
-    """Blocks over the partitions and sorted, with blocks beyond ``CHUNK`` rows split by hash into even parts."""
+def _parts(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (block, node) with the number of parts, NULL for a block of up to ``CHUNK`` rows."""
     size = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CHUNK)
-    part = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CHUNK)), F.lit(0))
-    return blocks.join(size, "block", "left").select(F.when(F.col("m").isNull(), F.col("block")).otherwise(F.xxhash64("block", part)).alias("block"), "node")
+    return blocks.join(size.select("block", F.ceil(F.col("m") / CHUNK).alias("parts")), "block", "left")
 
 
-def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = 1) -> DataFrame:
+def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = MOST) -> DataFrame:
     """(node, near ARRAY<BIGINT>): approximate best neighbours of each node of ``nodes`` (node, vector), best first.
 
+    Rounds follow each other until the share of neighbours that are new falls below ``DELTA``, at most ``rounds``.
+
     Labels and visits go along the best ``keep`` less ``SPARE`` neighbours; those beyond are often chance finds far away.
     """
-    first = _bucketed(nodes, rows, dim).repartition("block").sortWithinPartitions("block")
+    first = _bucketed(nodes, rows, dim).repartition("block").sortWithinPartitions("block", "more")
     near = staged(_merged(_compare(first, unpack8, dim, dim, keep), keep), "neighbours-0")
 
-    def packed(batches):
+    def packed(batches, number=0):
         seen: set[int] = set()
         for b in batches:
             new = [i for i, n in enumerate(b.column(0).to_pylist()) if not (n in seen or seen.add(n))]
             if new:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new)), _binary(pack12(_matrix(b.column(1).take(pa.array(new)), dim)))], names=["node", "v"])
+                x = _matrix(b.column(1).take(pa.array(new)), dim)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new)), _binary(pack12(x)), pa.array(further(x, number))], names=["node", "v", "more"])
 
     for r in range(1, rounds + 1):
         pairs = near.select("node", F.explode(F.concat(F.array("node"), F.slice("near", 1, keep - SPARE))).alias("other"))
@@ -242,14 +261,21 @@ def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = 1) ->
         one = pairs.join(one.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("l").alias("l"))
         one = staged(one, f"labels-{r}")
         visits = pairs.join(one.select(F.col("node").alias("other"), F.col("l").alias("block")), "other").select("block", "node").distinct()
-        visits = _spread(staged(visits, f"visits-{r}"))
-        vectors = nodes.select("node", "vector").mapInArrow(packed, "node bigint, v binary")
-        blocks = visits.join(vectors, "node").select("block", "node", "v").repartition("block").sortWithinPartitions("block")
-        near = staged(_merged(_compare(blocks, unpack12, (dim + 1) // 2 * 3, dim, keep), keep), f"neighbours-{r}")
-    return near
-
-
-def most_similar(docs: DataFrame, k: int = 5, dim: int = 384, key: str = "doc_id", vector: str = "embedding", rounds: int = 1) -> DataFrame:
+        visits = _parts(staged(visits, f"visits-{r}"))
+        vectors = nodes.select("node", "vector").mapInArrow(partial(packed, number=r), "node bigint, v binary, more bigint")
+        part = F.when(F.col("parts").isNull(), F.col("block")).otherwise(F.xxhash64("block", F.pmod(F.xxhash64("more"), F.col("parts"))))
+        blocks = visits.join(vectors, "node").select(part.alias("block"), "node", "v", "more").repartition("block").sortWithinPartitions("block", "more")
+        # what is known stays in the running; the first lists, of 8 bits, come after all of 12
+        known = near.select("node", F.transform("scored", lambda x: F.struct((x["s"] - F.lit(4.0 if r == 1 else 0.0)).cast("float").alias("s"), x["n"].alias("n"))).alias("near"))
+        before, near = near, staged(_merged(_compare(blocks, unpack12, (dim + 1) // 2 * 3, dim, keep).unionByName(known), keep), f"neighbours-{r}")
+        old = before.select("node", F.col("near").alias("old"))
+        change = near.join(old, "node", "left").agg(F.sum(F.size(F.array_except("near", F.coalesce("old", F.array().cast("array<bigint>"))))).alias("new"), F.sum(F.size("near")).alias("all")).first()
+        if (change["new"] or 0) <= DELTA * (change["all"] or 0):
+            break
+    return near.select("node", "near")
+
+
+def most_similar(docs: DataFrame, k: int = 5, dim: int = 384, key: str = "doc_id", vector: str = "embedding", rounds: int = MOST) -> DataFrame:
     """(a, b, place): the ``k`` most similar other rows of each row, by cosine, place 1 the most similar; ties go to the smaller key.
 
     Rows without a usable vector (NULL, all zero, a NULL or NaN entry, another length) have no neighbours and are

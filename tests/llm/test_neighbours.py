@@ -42,6 +42,16 @@ def test_chunks_bound_a_block(spark, monkeypatch):
     assert G.most_similar(df, k=5, dim=8).count() == 1500
 
 
+def test_chunks_keep_recall(spark, monkeypatch):
+    monkeypatch.setattr(G, "CHUNK", 64)
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal(8) + 0.1 * rng.standard_normal((600, 8))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<float>")
+    want = brute(np.arange(len(x)), x.astype(np.float64), 5)
+    got = G.most_similar(df, k=5, dim=8).collect()
+    assert sum(r.b in want[r.a] for r in got) / (5 * len(x)) >= 0.9
+
+
 def test_empty(spark):
     assert G.most_similar(spark.createDataFrame([], "doc_id long, embedding array<float>"), dim=4).count() == 0
 
