@@ -1,275 +1,132 @@
 """The main body of a page apart from site and file furniture.
 
-Each line of a page gets a score: words that may be body count for it, marks of furniture (menu items, notices, side
-content, footers, running heads, page numbers) against it, with weights from labelled lines. One linear scan finds the
-contiguous run of lines with the greatest sum, the body's region. Within it only lines that score as furniture go,
-by the tables or by learned weights of words and shapes; outside it all lines go but those of further runs that have a
-line which is body by its learned score.
+Words and shapes of a line have learned weights, body above 0 and furniture below (logistic regression over the lines of
+labelled pages, see ``boilerplate_fit``); a line's score is their sum. A line that is surely furniture ends a region; what lies
+between is scanned once for its maximal-scoring runs of lines. Runs of enough weight are the page's body, and every other
+line is furniture: a doubtful line goes with the lines around it.
 
 Pages are independent, so they stream through Arrow batches without a shuffle; cost is linear in a page's length.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import os
 import re
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Labelled furniture, in lower case, digits as 0. Menu items by language.
-MENU = set(
-    """home|menu|search|log in|login|sign in|register|about us|about|contact|contact us|services|departments|residents|business|careers|jobs|news|events|calendar|forms|maps|payments|my account|bids & rfps|bids|faq|help|government|visitors
-accueil|à propos|contact|services|actualités|connexion|plan du site|marchés publics|recherche|rechercher|menu|contactez-nous|emplois|s'inscrire
-startseite|über uns|kontakt|suche|anmelden|aktuelles|ämter|vergaben|menü|karriere|leistungen|registrieren
-inicio|nosotros|contacto|buscar|acceder|noticias|servicios|licitaciones|menú|empleo|mapa del sitio|trámites
-главная|о нас|контакты|войти|новости|закупки|услуги|поиск|меню|вакансии
-ホーム|会社概要|お問い合わせ|お知らせ|入札情報|ログイン|検索|メニュー|サービス|採用情報
-首页|关于我们|联系我们|新闻|招标公告|登录|搜索|菜单|服务|注册
-الرئيسية|من نحن|اتصل بنا|الأخبار|المناقصات|بحث|تسجيل الدخول|القائمة|الخدمات
-หน้าแรก|เกี่ยวกับเรา|ติดต่อ|ติดต่อเรา|ข่าว|ประกวดราคา|ค้นหา|เข้าสู่ระบบ|เมนู|บริการ
-मुखपृष्ठ|हमारे बारे में|संपर्क|समाचार|निविदाएँ|खोज|लॉग इन|मेनू|सेवाएँ""".replace("\n", "|").split("|")
-)
-#: Whole lines: notices and their buttons, side content, footers.
-LINES = set(
-    """skip to main content|skip to content|skip navigation|toggle menu|toggle navigation|an official website|employee intranet|sign up for our newsletter|back to top|site map|sitemap|this site is best viewed in a modern browser
-ada notice|report a problem with this page|all rights reserved|share this page|share|most viewed|most popular|download the app|you may also like|popular searches|quick links|follow us|recent posts|print|print this page|listen to this page
-was this page helpful?|related notices|related articles|upcoming meetings|text size: a a a|pay a bill online|vendor login|translate|advertisement|subscribe to alerts|subscribe|got it|accept all|accept all cookies|reject all|reject non-essential|manage preferences|cookie settings
-only what is required|everything|ok, close this message|learn how we handle personal data|your privacy matters to us. choose which categories you allow|this website stores small files on your device|this page relies on small text files kept by your browser
-we use cookies to improve this site. by continuing you accept them|some features need cookies, read our policy for details|tracking helps us count visits. you can opt out at any time|privacy policy|terms of use|accessibility|privacy|terms|cookie policy
-tout accepter|tout refuser|paramétrer les traceurs|ce site utilise des cookies. en poursuivant, vous les acceptez|mentions légales|confidentialité|tous droits réservés|haut de page|partager|s'abonner|voir aussi|liens rapides|politique de confidentialité
-alle akzeptieren|alle ablehnen|einstellungen anpassen|diese seite verwendet cookies|impressum|datenschutz|alle rechte vorbehalten|nach oben|teilen|abonnieren|siehe auch|schnellzugriff|datenschutzerklärung
-aceptar todo|rechazar todo|configurar|usamos cookies para mejorar el sitio. al continuar, las acepta|aviso legal|privacidad|todos los derechos reservados|volver arriba|compartir|suscribirse|ver también|enlaces rápidos|política de privacidad
-принять все|отклонить все|настроить|сайт использует файлы cookie|политика конфиденциальности|карта сайта|все права защищены|наверх|поделиться|смотрите также|подписаться|быстрые ссылки
-同意する|すべて拒否|当サイトはクッキーを使用します|プライバシーポリシー|サイトマップ|共有する|関連情報|ページの先頭へ|無断転載禁止
-全部接受|全部拒绝|本网站使用cookie|隐私政策|网站地图|分享|相关公告|返回顶部|版权所有
-قبول الكل|رفض الكل|يستخدم هذا الموقع ملفات الارتباط|سياسة الخصوصية|خريطة الموقع|شارك|مواضيع ذات صلة|جميع الحقوق محفوظة
-ยอมรับทั้งหมด|ปฏิเสธทั้งหมด|เว็บไซต์นี้ใช้คุกกี้|นโยบายความเป็นส่วนตัว|แผนผังเว็บไซต์|แชร์|ประกาศที่เกี่ยวข้อง|สงวนลิขสิทธิ์
-स्वीकार करें|अस्वीकार करें|यह साइट कुकी का उपयोग करती है|गोपनीयता नीति|साइट मैप|साझा करें|संबंधित सूचना|सर्वाधिकार सुरक्षित""".replace("\n", "|").split("|")
-)
-#: Forms of lines, digits as 0, case kept.
-FORMS = [
-    re.compile(p)
-    for p in (
-        r"(?i)(©|\(c\)|copyright)\s*0\b.{0,60}$",
-        r"(?i)powered by \S.{0,40}$",
-        r"v0(\.0)+$",
-        r"(?i)(phone|tel|telephone|fax): ?[+0() -]+$",
-        r"(?i)webmaster: \S+$",
-        r"(?i)office hours: .{0,40}$",
-        r"(?i)last (updated|modified|reviewed):? .{0,30}$",
-        r"(?i)member of the .{3,60} (council|association|league|network)$",
-        r"0+ [A-Z][a-z]+ (Street|St\.|Avenue|Ave\.|Road|Rd\.|Boulevard|Blvd\.|Lane|Drive), .{3,40}$",
-        r"(?i)we and our 0 partners .{0,80}$",
-        r"(?i)your consent applies to \S+$",
-        r"(?i)leave a comment( \(0\))?$",
-        r"(?i)tags: .{2,80}$",
-        r"(?i)read more about .{2,60}$",
-        r"(?i)sponsored by .{2,60}$",
-        r"(?i)weather: .{0,20}0 degrees$",
-        r"[A-Z][a-z]+ 0, 0 - (Council|Board|Committee) meeting$",
-        r"(?i)(bid|rfp) 0-0 closes soon$",
-        r"(?i)(only what is required|accept|reject)\s*\|\s*\S.{0,30}$",
-        r"(X-ray |[a-z])[\w -]{2,50} \(0\)$",
-        r"(?!(Request|Invitation|Notice|Solicitation|Program|Fee|Frequently|Contact|Item|Call|Statement|Public|Job|Press)\b)[A-Z][a-z]+( [A-Z][a-z]+){1,2}: (X-ray |[a-z])[\w -]{2,50}$",
-    )
-]
+WEIGHTS_FILE = os.path.join(os.path.dirname(__file__), "boilerplate_weights.json")
+#: Score at or below which a line ends a region, least weight of a run that is body, and the most that one line adds to its run.
+SURE, LEAST, MOST = -1.5, 0.5, 8.0
 #: Page numbers, and heads or feet that files repeat on each page.
 PAGE = re.compile(r"(?i)(- ?0 ?-|(page|seite|página|стр\.|p\.) ?0( (of|sur|von|de|из|/) ?0)?|0 ?/ ?0|0 \| \S.{0,80}|\S.{0,80} \| 0|0)$")
 HEAD = [re.compile(p) for p in (r"(?i)rfp 0-0$", r"(?i)rev\. 0( / 0)?$", r"(?i)confidential( - draft)?$", r"(?i)form [a-z]-0$", r"(?i)\S.{2,60} purchasing division$")]
 _SPLIT = re.compile(r"\s*[|·•»›>/]\s*|\s{2,}|\s*\t\s*")
+_SEPARATOR = re.compile(r"[|·•»›>/\t]|  ")
 _BULLET = re.compile(r"^[•·▪◦*-]\s+")
 _DIGITS = re.compile(r"\d+")
-_WORDS = re.compile(r"[^\W_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
-_TRIM = " \t\r\v\f 　​﻿"
+_MONEY, _ITEM, _LINK = re.compile(r"[$€£¥]"), re.compile(r"[-*•▪◦–]|\(?(?:\d+|[a-z]{1,2})[.)]"), re.compile(r"://|@|\bwww\.")
+_TRIM = " \t\r\v\f\u00a0\u3000\u200b\ufeff"
 _STOP = ".。।"
-_SPACE = re.compile(r"\s+")
-_SQUASHED = {_SPACE.sub("", x) for x in LINES}
-_SEPARATOR = re.compile(r"[|·•»›>/\t]|  ")
-#: First words of notices that a wrapped text may break.
-_BEGIN = {x.split()[0] for x in LINES if " " in x} | {"we", "your"}
-#: No form of lines is longer.
-LONG = 130
-#: Learned weights (logistic regression over labelled lines of the test tables, furniture below 0): of a word, or of two letters where words aren't spaced, and of a line's shape.
-WEIGHTS = {
-    w: float(x)
-    for x, *ws in map(
-        str.split,
-        """-3.2 your
--2.5 consent applies
--2.3 council
--2 site webmaster
--1.9 log
--1.8 cookies data
--1.6 by us we last
--1.5 this
--1.4 browser propos
--1.3 viewed
--1.2 modern rfps main read member regional
--1.1 contact calendar departments home maps careers residents
--1 payments accueil you
--0.9 connexion marchés publics search закупки policy updated ämter vergaben المناقصات الأخبار الرئيسية uns über noticias licitaciones buscar v
--0.8 actualités services account my новости нас о контакты главная войти about suche anmelden aktuelles startseite 首页 新闻 我们 helpful inicio acceder servicios contacto 使用 sitio kontakt
--0.7 vous poursuivant acceptez utilise ce plan услуги text details some need features helps can out count opt tracking اتصل من نحن بنا 登录 网站 meeting app download nosotros ملفات يستخدم هذا الموقع الارتباط continuar acepta usamos al las mejorar यह इट करत उपय सम हम 情報
--0.6 news website cookie использует файлы сайт business more size 公告 para पर खप 会社 社概
--0.5 menu newsletter up use rights reserved 标公 招标 系我 联系 ada info 站使 本网 วด กว ะก ーム ホー お知 らせ 知ら rev division
--0.4 rfp accept forms our allow which categories choose matters sign verwendet seite diese 于我 关于 was ข่ าว ้า กี 入札 札情 グイ ログ イン sponsored
--0.3 back desk confidentialité accessibility privacidad ดต ต่ ติ น้ าแ ยว everything イト サイ 合わ い合 問い お問 わせ pay bill
-0.3 nach el vendor urgent care 诊所 art 的吗 现场 是必 观是 必须 场参 参观 须的 scrubs oferta cerca
-0.4 en de small official any กา bring ละ เอ 每次 费用 为每 用为 次元 ำห นด กำ ดก 体检 料金 exam cdl rapide 疫苗 价格 苗价 laboral clínica 格疫 検査
-0.5 an time scope received proof hearing price medical sale าน าร รเ years ะธ ธา clinique médico
-0.6 work per walk gloves นป 日程 الجدول kiosks रण समय new angebot です below 概述
-0.7 background person entrega objet submission wholesale masks bulk gegenstand الوصف calendario ﬁrst वरण
-0.8 on at objeto pricing calendrier сроки предмет zeitplan einreichung http
-0.9 a shot cheap cost id
-1 visit open quotations evaluation test and proposals
-1.1 award frequently bid endoftext café
-1.2 for of asked discount ½
-1.3 𝒳
-1.6 https
-1.7 in der la
-1.8 all kit
-1.9 fee
-2 questions request
-2.1 program overview invitation
-2.3 the notice
-2.5 schedule
-3 provide
-3.9 solicitation""".split("\n"),
-    )
-    for w in ws
-}
-SHAPES = {"bias": -0.09, "n1": -2.21, "n2": -3.58, "n4": -2.31, "n8": -1.11, "n16": 1.3, "n99": 3.07, "stop": 4.05, "colon": 0.03, "sep2": -0.19, "sep3": 2.07, "short": -1.9, "digit": 2.02, "bullet": 2.28, "copy": -1.54, "money": 4.76, "title": -0.67}
-_HINTS = {w + end: x for w, x in WEIGHTS.items() if x < 0 for end in ("", ".", ",", "।")}
-_HINT = frozenset(_HINTS)
-_LETTERS = re.compile(r"[^\W\d_]+")
-_MONEY, _ITEM = re.compile(r"[$€£¥]"), re.compile(r"[-*•▪◦–]|\(?(?:\d+|[a-z]{1,2})[.)]")
-#: Bounds of the learned score: a run outside the best one stays from SURE on; a line of NOTICE words is a notice up to ALIEN, if its words alone sum to STRONG or less.
-SURE, ALIEN, NOTICE, STRONG = 0.0, -2.0, 8, -5.0
-#: Learned score below which a line of few words counts against its region, and the least it then counts.
-DOUBT, LEAST = -2.5, -3.0
-#: Weights: of a word that may be body, at most so many a line, and of a mark of furniture.
-WORD, MOST, MARK = 1.0, 16, -7.0
+#: Longest line, in code points, that is a feature as a whole.
+WHOLE = 80
 
 
-def _known(low: str) -> bool:
-    return low in LINES or low.rstrip(_STOP) in LINES or (len(low) < 120 and _SPACE.sub("", low).rstrip(_STOP) in _SQUASHED)
+@cache
+def weights() -> dict[str, float]:
+    with open(WEIGHTS_FILE, encoding="utf-8") as f:
+        return json.load(f)
 
 
-def is_furniture(line: str) -> bool:
-    """Whether a stripped line bears a mark of furniture by itself."""
-    plain = _DIGITS.sub("0", _BULLET.sub("", line)).strip(_TRIM)
+def stripped(text: str) -> list[str]:
+    return [x.strip(_TRIM) for x in text.split("\n")]
+
+
+def line_features(line: str, head: bool) -> tuple[set[str], set[str], set[str]]:
+    """Features of a stripped line in three groups: its shape and the line as a whole, its items, its words and pairs of words. Digits count as 0."""
+    plain = _DIGITS.sub("0", line)
     low = plain.lower()
-    if _known(low) or low in MENU:
-        return True
-    items = [x.lower() for x in _SPLIT.split(plain) if x] if _SEPARATOR.search(plain) else []
-    if len(items) > 1:
-        hits = sum(x in MENU or _known(x) for x in items)
-        if hits >= 2 and hits >= 0.6 * len(items) or hits == len(items):
-            return True
-        if hits >= 3 and len(items) - hits <= 2:
-            return True
-    return len(plain) <= LONG and any(f.match(plain) for f in FORMS)
-
-
-def learned(line: str) -> float:
+    bare = _BULLET.sub("", low)
+    items = [x for x in _SPLIT.split(bare) if x] if _SEPARATOR.search(bare) else []
+    words, dense = _LETTERS.findall(low), "".join(_DENSE.findall(low))
+    if dense:
+        words = [w for w in words if not _DENSE.match(w)]
+    n, k = max(low.count(" ") + 1, len(dense) // 3), len(items)
+    one = {"#bias", "#n" + ("1" if n <= 1 else "2" if n == 2 else "4" if n <= 4 else "8" if n <= 8 else "16" if n <= 16 else "99")}
+    if k > 1:
+        one.add("#items2" if k == 2 else "#items4" if k <= 4 else "#items9")
+        if len(plain) < 20 * k:
+            one.add("#short")
+    last = plain[-1]
+    if last in ".!?。।؟！？":
+        one.add("#stop")
+    elif last in ":,;،、":
+        one.add("#" + last)
+    for name, on in (("#digit", "0" in plain), ("#item", _ITEM.match(line)), ("#copy", plain[0] == "©"), ("#money", _MONEY.search(plain)), ("#lower", plain[0].islower()), ("#link", _LINK.search(plain)), ("#head", head)):
+        if on:
+            one.add(name)
+    if len(bare) <= WHOLE:
+        one.add("=" + bare.rstrip(_STOP))
+    said = set(words)
+    said.update(map("{} {}".format, words, words[1:]))
+    said.update(dense[i : i + 2] for i in range(len(dense) - 1))
+    return one, {"=" + x.rstrip(_STOP) for x in items} if k > 1 else set(), said
+
+
+def group_scales(groups: tuple[set[str], set[str], set[str]]) -> tuple[float, float, float]:
+    """Many items or words count by the root of their number, so that a long line's score doesn't grow with its length."""
+    return 1.0, 1.0 / math.sqrt(max(1, len(groups[1]))), 1.0 / math.sqrt(max(1.0, len(groups[2]) / 4))
+
+
+@lru_cache(200_000)
+def line_score(line: str, head: bool = False) -> float:
     """Learned score of a stripped line: body above 0, furniture below."""
-    plain = _DIGITS.sub("0", line)
-    spaced = plain.split()
-    dense = "".join(_DENSE.findall(plain))
-    n = max(len(spaced), len(dense) // 3)
-    items = [x for x in _SPLIT.split(plain) if x] if _SEPARATOR.search(plain) else []
-    on = ["bias", "n1" if n <= 1 else "n2" if n == 2 else "n4" if n <= 4 else "n8" if n <= 8 else "n16" if n <= 16 else "n99"]
-    on += ["sep3"] if len(items) > 2 else ["sep2"] if len(items) == 2 else []
-    if len(items) > 2 and len(plain) < 16 * len(items):
-        on.append("short")
-    if plain[-1] in ".!?。।":
-        on.append("stop")
-    if plain[-1] == ":":
-        on.append("colon")
-    if "0" in plain:
-        on.append("digit")
-    if _ITEM.match(line):
-        on.append("bullet")
-    if plain[0] == "©":
-        on.append("copy")
-    if _MONEY.search(plain):
-        on.append("money")
-    if n >= 2 and all(w[:1].isupper() or not w[:1].isalpha() for w in spaced):
-        on.append("title")
-    words = {w for w in _LETTERS.findall(plain.lower()) if not _DENSE.match(w)} | {dense[i : i + 2] for i in range(len(dense) - 1)}
-    return sum(SHAPES[s] for s in on) + sum(WEIGHTS.get(w, 0.0) for w in words)
-
-
-def is_notice(line: str) -> bool:
-    """Whether a stripped line of many words reads like a notice or menu by its words, though no table has it."""
-    n = len(line.split())
-    if n < NOTICE and len(line) < 3 * NOTICE:
-        return False
-    low = line.lower()
-    hints = _HINT.intersection(low.split() if n >= NOTICE else map(str.__add__, low, low[1:]))
-    return len(hints) > 1 and sum(_HINTS[w] for w in hints) <= STRONG and learned(line) <= ALIEN
-
-
-def line_scores(lines: list[str]) -> list[float]:
-    """Score of each line (0 for a blank one)."""
-    bare = [x.strip(_TRIM) for x in lines]
-    score = [0.0] * len(bare)
-    full = [i for i, x in enumerate(bare) if x]
-    for i in full:
-        if is_furniture(bare[i]) or is_notice(bare[i]):
-            score[i] = MARK
-        else:
-            n = MOST if len(bare[i]) > LONG else len(_WORDS.findall(bare[i])) + len(_DENSE.findall(bare[i])) // 4
-            score[i] = WORD * min(MOST, max(1, n))
-    for k, i in enumerate(full):  # wrapped notices and menus
-        if score[i] > 0 and k + 1 < len(full) and full[k + 1] == i + 1 and len(bare[i]) < LONG and bare[i].split(None, 1)[0].lower() in _BEGIN:
-            text, at = bare[i], [i]
-            for j in full[k + 1 : k + 3]:
-                if j != at[-1] + 1:
-                    break
-                text, at = f"{text} {bare[j]}", [*at, j]
-                low = _DIGITS.sub("0", text).lower()
-                if _known(low) or any(f.match(_DIGITS.sub("0", text)) for f in FORMS[9:11]):
-                    for x in at:
-                        score[x] = MARK
-    _running_heads(bare, full, score)
-    return score
-
-
-def _running_heads(bare: list[str], full: list[int], score: list[float]) -> None:
-    """Marks page numbers and the lines that are repeated next to them."""
-    shape = {i: _DIGITS.sub("0", bare[i]).lower() for i in full if len(bare[i]) <= 90}
-    numbers = [i for i in full if i in shape and PAGE.match(_DIGITS.sub("0", bare[i]))]
-    value = {i: int(_DIGITS.search(bare[i]).group()[:6]) for i in numbers}
+    groups, known = line_features(line, head), weights()
+    return sum(s * sum(known.get(f, 0.0) for f in g) for g, s in zip(groups, group_scales(groups), strict=True))
+
+
+def head_lines(lines: list[str]) -> set[int]:
+    """Places of page numbers and of the lines that are repeated next to them, among stripped lines."""
+    full = [i for i, x in enumerate(lines) if x]
+    shape = {i: _DIGITS.sub("0", lines[i]).lower() for i in full if len(lines[i]) <= 90}
     rising, last = [], 0
+    numbers = [i for i in full if i in shape and PAGE.match(_DIGITS.sub("0", lines[i]))]
     for i in numbers:
-        bareword = bare[i].isdigit()
-        if value[i] == last + 1 or (not bareword and value[i] > last):
+        value = int(_DIGITS.search(lines[i]).group()[:6])
+        if value == last + 1 or (not lines[i].isdigit() and value > last):
             rising.append(i)
-            last = value[i]
-    if len(rising) < 2 and not any(not bare[i].isdigit() for i in rising):
+            last = value
+    if len(rising) < 2 and all(lines[i].isdigit() for i in rising):
         rising = [i for i in rising if last == 1 and i == full[-1]]
-    for i in rising:
-        score[i] = MARK
-    pages = set(rising)
+    found = set(rising)
     times: dict[str, int] = {}
     for s in shape.values():
         times[s] = times.get(s, 0) + 1
     place = {i: k for k, i in enumerate(full)}
-    edge = set()
-    for i in pages:
-        edge.update(full[max(0, place[i] - 1) : place[i] + 2])
-    if pages and full:
+    edge = {j for i in found for j in full[max(0, place[i] - 1) : place[i] + 2]}
+    if found:
         edge.add(full[0])
+    beside: dict[str, bool] = {}
     for i, s in shape.items():
-        if score[i] <= 0:
+        beside[s] = beside.get(s, True) and i in edge
+    ends = {*full[:1], *full[-1:]}
+    for i, s in shape.items():
+        if i in found:
             continue
-        if any(h.match(_DIGITS.sub("0", bare[i])) for h in HEAD) and (i in edge or times[s] > 1 or i in full[:1] or i in full[-1:] or len(s) < 30):
-            score[i] = MARK
-        elif i in edge and times[s] > 1 and pages and times[s] >= min(3, len(pages)) and len(bare[i]) <= 60 and all(j in edge for j, t in shape.items() if t == s):
-            score[i] = MARK
+        plain = _DIGITS.sub("0", lines[i])
+        if any(h.match(plain) for h in HEAD):
+            if i in edge or times[s] > 1 or i in ends or len(s) < 30:
+                found.add(i)
+        elif rising and beside[s] and times[s] >= max(2, min(3, len(rising))) and len(s) <= 60:
+            found.add(i)
+    return found
 
 
 def best_region(score: list[float]) -> tuple[int, int]:
@@ -303,45 +160,21 @@ def body_regions(score: list[float]) -> list[tuple[int, int]]:
     return [(r[2], r[3]) for r in runs]
 
 
-def region_scores(lines: list[str], marks: list[float]) -> list[float]:
-    """Scores by which regions are found: an unmarked line of few words whose learned score is below 0 has that, down to ``LEAST``, unless body follows it, whose heading it is."""
-    out, after = list(marks), MARK
-    for i in range(len(marks) - 1, -1, -1):
-        x = marks[i]
-        if 0 < x < NOTICE:
-            w = learned(lines[i].strip(_TRIM))
-            if w < DOUBT and after < SURE:
-                out[i] = max(LEAST, w)
-            after = w
-        elif x:
-            after = x
-    return out
-
-
 def furniture_lines(text: str | None) -> list[int]:
-    """Numbers (from 1, blank lines counted) of the non-blank lines that are furniture."""
+    """Numbers (from 1, blank lines counted) of the non-blank lines that are furniture: those outside the body's regions."""
     if not text or not text.strip(_TRIM + "\n"):
         return []
-    lines = text.split("\n")
-    marks = line_scores(lines)
-    score = region_scores(lines, marks)
-    first, last = best_region(score)
-    body = set(range(first, last + 1))
-    for a, z in body_regions(score):  # a further run stays if a line of it is surely body
-        if not first <= a <= last and any(x > 0 and learned(lines[i].strip(_TRIM)) >= SURE for i, x in enumerate(score[a : z + 1], a)):
-            body.update(range(a, z + 1))
-    out = [i for i, x in enumerate(marks) if x < 0 or x and i not in body]
-    full = [i for i, x in enumerate(score) if x]
-    at = 0
-    while at < len(full):  # a block of furniture within the body takes the doubtful lines between its marks
-        end = at
-        while end < len(full) and score[full[end]] < 0:
-            end += 1
-        marked = [k for k in range(at, end) if marks[full[k]] < 0]
-        if marked:
-            out += [full[k] for k in range(marked[0], marked[-1]) if marks[full[k]] > 0 and full[k] in body]
-        at = end + 1
-    return [i + 1 for i in sorted(out)]
+    lines = stripped(text)
+    heads = head_lines(lines)
+    score = [min(MOST, line_score(x, i in heads)) if x else 0.0 for i, x in enumerate(lines)]
+    body: set[int] = set()
+    begin = 0
+    for end in [*(i for i, s in enumerate(score) if s <= SURE), len(score)]:
+        for a, z in body_regions(score[begin:end]):
+            if sum(score[begin + a : begin + z + 1]) >= LEAST:
+                body.update(range(begin + a, begin + z + 1))
+        begin = end + 1
+    return [i + 1 for i, x in enumerate(lines) if x and i not in body]
 
 
 def find_furniture(pages: DataFrame, key: str = "page", text: str = "text") -> DataFrame:

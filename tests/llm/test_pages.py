@@ -41,6 +41,18 @@ def test_region_takes_unseen_furniture():
     assert B.furniture_lines(f"{menu}\n{prose}\n{notice}\n{prose}") == [1, 4]
 
 
+def test_regions_decide_and_unseen_menus_go():
+    prose = "The county will keep records for ten years and the board will meet in May.\nThe panel will review all of the offers before the close of business."
+    unseen = ["Home | Products | Pricing | Blog", "Produkte | Preise | Blog", "We value your privacy and use trackers"]
+    assert B.furniture_lines("\n".join([unseen[0], unseen[1], prose, unseen[2]])) == [1, 2, 5]
+    long = "We use cookies and similar tracking on this site to improve the website and to count visits; by continuing to use this website you accept our cookie policy and privacy policy, and you can opt out at any time by the settings of your browser, read our policy for details, or reject all cookies in the cookie settings of this page. " * 2
+    assert len(long) > 600 and B.furniture_lines(f"{long}\n{prose}") == [1]
+    # a doubtful line goes with its region: kept within the body, gone between furniture
+    doubtful = min((x for x in ("Pricing", "Overview", "Submission", "Site visit") if B.SURE < B.line_score(x) < B.MOST), key=B.line_score)
+    assert B.furniture_lines(f"{prose}\n{doubtful}\n{prose}") == []
+    assert not B.body_regions([B.line_score(x) for x in unseen])
+
+
 def test_body_regions_are_maximal():
     assert B.body_regions([1, -5, 3, -2, 4, -9, 2]) == [(0, 0), (2, 4), (6, 6)] and B.body_regions([-1, 0]) == []
 
