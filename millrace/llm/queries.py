@@ -65,18 +65,32 @@ def p6_search(spark, sf_dir):
     return neighbours.search(docs, docs.where(F.col("doc_id") % 20 == 0))
 
 
-def p7_found(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text").withColumn("page", F.col("doc_id") * 2)
+def _stuffed(spark, sf_dir):
+    """The rows of p1_found that are documents, as page numbers."""
+    return stuffing.stuffed_pages(_pages(spark, sf_dir)).where(F.col("page") % 2 == 0)
+
+
+def _texts(spark, sf_dir):
+    """Texts of both tables that hold bodies, under page numbers: twice the row's id, plus one for extracted documents."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select((F.col("doc_id") * 2).alias("page"), "text")
     extracts = table(spark, sf_dir, "extracted_documents", "extract_id", "text").select((F.col("extract_id") * 2 + 1).alias("page"), "text")
-    lines = boilerplate.find_furniture(docs.select("page", "text").unionByName(extracts))
-    stuffed = stuffing.stuffed_pages(docs.select("page", stuffing.language_code(F.col("lang")).alias("lang"), "text"))
-    lines = lines.join(stuffed, "page", "left_anti")
-    return lines.select(F.when(F.col("page") % 2 == 1, "extracted_documents").otherwise("documents").alias("tbl"), F.floor(F.col("page") / 2).cast("bigint").alias("row_id"), "line_no")
+    return docs.unionByName(extracts)
+
+
+def _named(rows, *columns):
+    return rows.select(F.when(F.col("page") % 2 == 1, "extracted_documents").otherwise("documents").alias("tbl"), F.floor(F.col("page") / 2).cast("bigint").alias("row_id"), *columns)
+
+
+def p7_found(spark, sf_dir):
+    body = _texts(spark, sf_dir).join(_stuffed(spark, sf_dir), "page", "left_anti")
+    return _named(boilerplate.find_furniture(body), "line_no")
 
 
 def p7_body(spark, sf_dir):
-    """Every document's text without its furniture lines."""
-    return boilerplate.bodies(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    """Every text of documents and extracted_documents without its furniture lines; a stuffed page's body is empty."""
+    pages = _texts(spark, sf_dir).join(_stuffed(spark, sf_dir).withColumn("stuffed", F.lit(True)), "page", "left")
+    text = F.when(F.col("stuffed") & F.col("text").isNotNull(), "").otherwise(F.col("text"))
+    return _named(boilerplate.bodies(pages.select("page", text.alias("text"))), "body")
 
 
 def p8_ids(spark, sf_dir):

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from millrace.llm import boilerplate as B
 from millrace.llm import stuffing as S
 
@@ -94,12 +96,31 @@ def test_stuffed_pages(spark):
     assert got == {1000 + i for i in range(len(bad))}
 
 
+def test_the_curve_decides(spark):
+    prose, bad = corpus()
+    rows = [(i, "en", t) for i, t in enumerate(prose + bad)] + [(5000 + i, "en", bad[0]) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page long, lang string, text string")
+    firsts = S.different(pages)
+    assert firsts.count() == len(set(prose + bad))
+    counts = S.word_counts(pages, firsts)
+    judged = S.compared(S.curves(counts, S.prose_core(counts, firsts))).withColumn("p", S.odds([F.col(x) for x in S.FIGURES])).collect()
+    by = {r.page: r.p for r in judged}
+    assert sum(by[i] <= S.NO for i in range(len(prose))) >= 0.8 * len(set(prose)) and max(by[len(prose) + i] for i in range(len(bad))) >= S.YES
+    assert {r.page for r in S.stuffed_pages(pages).collect()} >= {5000 + i for i in range(40)}
+
+
+def test_many_languages_have_their_own_core(spark):
+    rows = [(100 * k + i, f"{chr(97 + k // 26)}{chr(97 + k % 26)}", f"w{k} and v{k} u{i % 3} t{k}") for k in range(30) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page long, lang string, text string")
+    firsts = S.different(pages)
+    core = {r.word: r.shares for r in S.prose_core(S.word_counts(pages, firsts), firsts).collect()}
+    assert len(core["and"]) == 30 and core["w29"] == {"bd": 1.0}
+
+
 def test_stuffed_empty(spark):
     assert S.stuffed_pages(spark.createDataFrame([], "page long, lang string, text string")).count() == 0
 
 
 def test_language_codes(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([("EN",), ("ru-XX",), ("ger",), (None,), ("??",)], "l string")
     assert [r.c for r in df.select(S.language_code(F.col("l")).alias("c")).collect()] == ["en", "ru", "de", None, None]
