@@ -9,6 +9,8 @@ Standing is a pluggable aggregate: ``votes`` (the sum over a value's records of
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,61 +55,86 @@ def cut_off(value: Column) -> Column:
     return F.coalesce(value.rlike("(?i)" + _CUT), F.lit(False))
 
 
+#: Fields whose values are prose: one may be cut off, or be a beginning of another. Fields that hold addresses: the spelling without parameters of visits is taken.
+PROSE, ADDRESSES = ("title", "description"), ("url",)
+
+
+def _tracked(value: Column) -> Column:
+    """How many parameters of visits or sessions, and fragments, an address carries."""
+    names = "|".join(re.escape(x) for x in TRACKING)
+    return F.regexp_count(value, F.lit(rf"(?i)[?&;](?:utm_\w*|{names})(?:=|&|;|#|$)|#."))
+
+
 def values_of_groups(rows: DataFrame, group: Column, fields: list[str], record: str, source: str, seen: str, registry: DataFrame, half_life_days: float = 180.0) -> DataFrame:
-    """(group, field, value, n, best, votes): one row for each distinct value, added up over its records before the shuffle ends.
+    """(g1, g2, field, value, page, n, best, votes): one row for each distinct value of a group, added up over its records before it moves.
 
-    ``best`` orders records: trust, then time, then the negative record id. A source that the registry lacks has trust -1,
-    a missing time is before all others. ``votes`` decays by half every ``half_life_days`` before 2100-01-01; they
-    are compared by their logarithms, so only differences of time matter.
+    g1 and g2 are hashes of the group's name, ``page``, so that the name need not move with each value. ``best`` orders
+    records: trust, then time, then the negative record id. A source that the registry lacks has trust -1, a missing time is before all others.
+    ``votes`` decays by half every ``half_life_days`` before 2100-01-01; votes are compared by their logarithms, so only
+    differences of time matter.
     """
     reg = registry.select(F.col("source").alias("__s"), F.col("trust").alias("__trust")).dropDuplicates(["__s"])
     long = rows.select(
         group.alias("__g"), F.col(f"`{source}`").alias("__s"), F.col(f"`{seen}`").alias("__at"), F.col(f"`{record}`").alias("__id"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields])).alias("__v"),
+        F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields]).alias("__v"),
     ).where(F.col("__g").isNotNull())
     trust = F.coalesce(F.col("__trust"), F.lit(-1))
     age = F.datediff(F.lit("2100-01-01").cast("date"), F.col("__at").cast("date"))
     long = long.join(reg, "__s", "left").select(
-        "__g", "__v.field", "__v.value",
-        F.struct(trust.alias("trust"), F.coalesce(F.col("__at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), (-F.col("__id")).alias("neg")).alias("best"),
-        (F.greatest(trust, F.lit(0)) * F.pow(F.lit(0.5), F.coalesce(age, F.lit(50_000)) / F.lit(half_life_days))).alias("vote"),
+        F.xxhash64("__g").alias("g1"), F.hash("__g").alias("g2"), "__g",
+        F.named_struct(F.lit("trust"), trust, F.lit("at"), F.coalesce(F.col("__at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")), F.lit("neg"), -F.col("__id")).alias("best"),
+        (F.greatest(trust, F.lit(0)) * F.pow(F.lit(0.5), F.coalesce(age, F.lit(50_000)) / F.lit(half_life_days))).alias("vote"), F.explode("__v").alias("__v"),
     )
-    return long.groupBy("__g", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.max("best").alias("best"), F.sum("vote").alias("votes"))
+    return long.groupBy("g1", "g2", "__v.field", "__v.value").agg(F.first("__g").alias("page"), F.count(F.lit(1)).alias("n"), F.max("best").alias("best"), F.sum("vote").alias("votes"))
 
 
 def mark_beginnings(values: DataFrame) -> DataFrame:
     """Adds ``beginning``: the value is a strict beginning of another value of its group and field.
 
     Sorted by code point, a beginning stands right before a value that it begins. Values are sorted within their first
-    ``SALT`` code points, so that a group with very many values is spread over many tasks; shorter values can only
-    begin a value whose first ``SALT`` code points they begin, and those are compared once each.
+    ``SALT`` code points, so that a group with very many values is spread over many tasks; a shorter value can only
+    begin one whose first ``SALT`` code points it begins, and those are compared once each.
     """
-    salt = F.substring("value", 1, SALT)
-    near = Window.partitionBy("__g", "field", salt).orderBy("value")
-    marked = values.withColumn("__next", F.lead("value").over(near))
-    heads = values.where(F.col("value").isNotNull()).select("__g", "field", salt.alias("head")).distinct()
-    wide = Window.partitionBy("__g", "field").orderBy("head")
-    short = heads.withColumn("__next", F.lead("head").over(wide)).where((F.length("head") < SALT) & F.col("__next").startswith(F.col("head")))
-    short = short.select("__g", "field", F.col("head").alias("value"), F.lit(True).alias("__short"))
-    marked = marked.join(short, ["__g", "field", "value"], "left")
-    return marked.withColumn("beginning", F.coalesce(F.col("__short"), F.lit(False)) | F.coalesce(F.col("__next").startswith(F.col("value")), F.lit(False))).drop("__next", "__short")
+    salt, keys = F.substring("value", 1, SALT), ["g1", "g2", "field"]
+    short = F.coalesce(F.length("value"), F.lit(0)) < SALT
+    following = F.lead("value").over(Window.partitionBy(*keys, salt).orderBy("value"))
+    long = values.where(~short).withColumn("beginning", F.coalesce(following.startswith(F.col("value")), F.lit(False)))
+    heads = values.where(F.col("value").isNotNull()).select(*keys, salt.alias("head")).distinct()
+    begun = heads.withColumn("next", F.lead("head").over(Window.partitionBy(*keys).orderBy("head"))).where((F.length("head") < SALT) & F.col("next").startswith(F.col("head")))
+    begun = begun.select(*keys, F.col("head").alias("value"), F.lit(True).alias("begun"))
+    rest = values.where(short).join(begun, [*keys, "value"], "left").withColumn("beginning", F.coalesce("begun", F.lit(False))).drop("begun")
+    return long.unionByName(rest)
 
 
 def choose(values: DataFrame, standing: str = "best_record", least: int = 2) -> DataFrame:
-    """(group, field, value, result_id, n_records): of each group of at least ``least`` records, the winning complete value of each field.
+    """(g1, g2, field, vh, result_id, n_records): of each group of at least ``least`` records, the winning complete value of each field, as a hash.
 
-    Complete: not NULL, blank or a placeholder, not marked as cut off, no strict beginning of another value. A field
-    without a complete value has no row. ``standing``: see the module; equal votes go to the better single record.
+    Complete: not NULL, blank or a placeholder, and for prose not marked as cut off and no strict beginning of another value. A field
+    without a complete value has no row. ``best_record`` takes the value behind the best single record. ``votes`` adds up
+    the votes of all values that are the same but for case and white space, or for an address address the same page, and takes
+    the normal form with most votes and its best spelling (fewest parameters of visits, then the best record); equal votes
+    go to the better single record. Once values are judged, only their hashes move.
     """
-    marked = mark_beginnings(values)
-    whole = stated(F.col("value")) & ~cut_off(F.col("value")) & ~F.col("beginning")
-    by = F.col("best") if standing == "best_record" else F.struct(F.coalesce(F.round(F.log2(F.nullif(F.col("votes"), F.lit(0.0))), 9), F.lit(-1e9)).alias("v"), F.col("best"))
-    won = marked.groupBy("__g", "field").agg(F.sum("n").alias("n_records"), F.max_by(F.struct("value", "best"), F.when(whole, by)).alias("w"), F.max(whole).alias("any"))
-    return won.where((F.col("n_records") >= least) & F.col("any")).select("__g", "field", F.col("w.value").alias("value"), (-F.col("w.best.neg")).alias("result_id"), "n_records")
+    prose, address = F.col("field").isin(*PROSE), F.col("field").isin(*ADDRESSES)
+    judged = mark_beginnings(values.where(prose)).unionByName(values.where(~prose).withColumn("beginning", F.lit(False)))
+    whole = stated(F.col("value")) & ~(prose & cut_off(F.col("value"))) & ~F.col("beginning")
+    normal = F.when(address, F.lit(0)).otherwise(F.xxhash64(F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))))
+    keys = ["g1", "g2", "field"]
+    small = judged.select(*keys, F.xxhash64("value").alias("vh"), normal.alias("nh"), "n", "best", "votes", F.when(address, -_tracked(F.col("value"))).otherwise(0).alias("clean"), whole.alias("whole"))
+    if standing == "votes":
+        spelling = F.struct("clean", "best", "vh")
+        small = small.groupBy(*keys, "nh").agg(F.sum("n").alias("n"), F.max(F.when(F.col("whole"), spelling)).alias("s"), F.sum(F.when(F.col("whole"), F.col("votes"))).alias("votes"))
+        by = F.struct(F.coalesce(F.round(F.log2(F.nullif(F.col("votes"), F.lit(0.0))), 9), F.lit(-1e9)).alias("v"), F.col("s.best"))
+        small = small.select(*keys, "n", F.col("s").isNotNull().alias("whole"), by.alias("by"), F.col("s.vh").alias("vh"), F.col("s.best").alias("best"))
+    else:
+        small = small.withColumn("by", F.col("best"))
+    won = small.groupBy(*keys).agg(F.sum("n").alias("n_records"), F.max(F.when(F.col("whole"), F.struct("by", "vh", "best"))).alias("w"))
+    return won.where((F.col("n_records") >= least) & F.col("w").isNotNull()).select(*keys, F.col("w.vh").alias("vh"), (-F.col("w.best.neg")).alias("result_id"), "n_records")
 
 
 def survivors(values: DataFrame, fields: list[str], standing: str = "votes", least: int = 2) -> DataFrame:
     """One row a group: page STRING, each of ``fields`` and n_records; a field without a complete value is NULL, a group without any has no row."""
-    won = choose(values, standing, least)
+    keys = ["g1", "g2", "field", "vh"]
+    won = choose(values, standing, least).join(values.select(*keys[:3], F.xxhash64("value").alias("vh"), "value", "page"), keys)
     one = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields]
-    return won.groupBy(F.col("__g").alias("page")).agg(*one, F.max("n_records").alias("n_records"))
+    return won.groupBy("g1", "g2").agg(F.max("page").alias("page"), *one, F.max("n_records").alias("n_records")).drop("g1", "g2")

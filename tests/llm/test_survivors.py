@@ -39,3 +39,13 @@ def test_votes_sum_over_sources_and_pivot(spark):
     assert [(r.title, r.n_records) for r in S.survivors(v, ["title"]).collect()] == [("T one", 3)]
     assert [r.title for r in S.survivors(v, ["title"], "best_record").collect()] == ["T two"]
     assert S.choose(v.limit(0)).count() == 0
+
+
+def test_clean_addresses_and_normal_forms_win(spark):
+    at = dt.datetime(2025, 1, 1)
+    rows = [(i, "https://a.example/x", "high", at, "T one ") for i in range(3)] + [(3, "https://a.example/x?utm_source=mail", "high", at, "Other"), (4, "http://a.example/x#top", "high", at, "t  One"), (5, "https://a.example/x?sid=1", "high", at, "Other")]
+    df = spark.createDataFrame(rows, "result_id long, url string, source string, fetched_at timestamp, title string")
+    reg = spark.createDataFrame([("high", 60)], "source string, trust int")
+    v = S.values_of_groups(df, S.page_key(F.col("url")), ["title", "url"], "result_id", "source", "fetched_at", reg)
+    got = S.survivors(v, ["title", "url"]).collect()
+    assert [(r.url, r.title, r.n_records) for r in got] == [("https://a.example/x", "T one ", 6)]
