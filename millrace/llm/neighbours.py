@@ -8,7 +8,9 @@ labels among its neighbours, so that two nodes with a common neighbour share a b
 
 Vectors move as bytes: 8 bits an entry in buckets, 12 in blocks (an error of about 3e-5 of a cosine). A bucket or
 block beyond ``CHUNK`` rows is sorted and split by further hash coordinates; what a chunk boundary separates, the next
-rounds' common neighbours bring together. Rounds end when few neighbours change. Number of buckets follows the number of rows, so work grows as rows times bucket size.
+rounds' common neighbours bring together. After the first round only links that are new count: the neighbours of a node that
+gained or is a new neighbour meet again, others don't, so a round moves about as much as the one before changed. Rounds end
+when few neighbours change. Number of buckets follows the number of rows, so work grows as rows times bucket size.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from millrace.sources.staging import staged
 #: Rows compared at once at most, expected rows of a bucket, tables of buckets, buckets a vector visits in each, neighbours kept beyond those asked for.
 CHUNK, BUCKET, TABLES, PROBES, SPARE = 8192, 2048, 2, 2, 1
 #: Share of new neighbours below which rounds end, and rounds at most.
-DELTA, MOST = 0.02, 8
+DELTA, MOST = 0.01, 12
+#: Bytes of vectors that a task sorts at most, if they are spread evenly.
+TASK = 64 << 20
 #: Rows of a product of matrices.
 ROWS = 1024
 SEED = 20_240_229
@@ -236,6 +240,14 @@ def _parts(blocks: DataFrame) -> DataFrame:
     return blocks.join(size.select("block", F.ceil(F.col("m") / CHUNK).alias("parts")), "block", "left")
 
 
+def _spread(blocks: DataFrame, size: int) -> DataFrame:
+    """``blocks`` (block, ..., more) by block, sorted, over as many tasks as ``size`` bytes need."""
+    tasks = size // TASK + 1
+    default = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = blocks.repartition(tasks, "block") if tasks > default else blocks.repartition("block")
+    return moved.sortWithinPartitions("block", "more")
+
+
 def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = MOST) -> DataFrame:
     """(node, near ARRAY<BIGINT>): approximate best neighbours of each node of ``nodes`` (node, vector), best first.
 
@@ -243,8 +255,9 @@ def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = MOST)
 
     Labels and visits go along the best ``keep`` less ``SPARE`` neighbours; those beyond are often chance finds far away.
     """
-    first = _bucketed(nodes, rows, dim).repartition("block").sortWithinPartitions("block", "more")
-    near = staged(_merged(_compare(first, unpack8, dim, dim, keep), keep), "neighbours-0")
+    first = _spread(_bucketed(nodes, rows, dim), rows * TABLES * PROBES * dim)
+    made = _merged(_compare(first, unpack8, dim, dim, keep), keep)
+    near = staged(made.withColumn("fresh", F.slice("near", 1, keep - SPARE)), "neighbours-0")
 
     def packed(batches, number=0):
         seen: set[int] = set()
@@ -256,6 +269,9 @@ def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = MOST)
 
     for r in range(1, rounds + 1):
         pairs = near.select("node", F.explode(F.concat(F.array("node"), F.slice("near", 1, keep - SPARE))).alias("other"))
+        if r > 1:  # only the neighbours of nodes that a new link begins or ends at meet again
+            centres = near.where(F.size("fresh") > 0).select(F.explode(F.concat(F.array("node"), "fresh")).alias("other")).distinct()
+            pairs = staged(pairs.join(centres, "other", "left_semi").select("node", "other"), f"links-{r}")
         label = F.xxhash64("node", F.lit(r))
         one = pairs.groupBy(F.col("other").alias("node")).agg(F.min(label).alias("l"))  # the least label among those that know the node
         one = pairs.join(one.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("l").alias("l"))
@@ -264,12 +280,14 @@ def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = MOST)
         visits = _parts(staged(visits, f"visits-{r}"))
         vectors = nodes.select("node", "vector").mapInArrow(partial(packed, number=r), "node bigint, v binary, more bigint")
         part = F.when(F.col("parts").isNull(), F.col("block")).otherwise(F.xxhash64("block", F.pmod(F.xxhash64("more"), F.col("parts"))))
-        blocks = visits.join(vectors, "node").select(part.alias("block"), "node", "v", "more").repartition("block").sortWithinPartitions("block", "more")
+        blocks = _spread(visits.join(vectors, "node").select(part.alias("block"), "node", "v", "more"), rows * dim * 3)
         # what is known stays in the running; the first lists, of 8 bits, come after all of 12
         known = near.select("node", F.transform("scored", lambda x: F.struct((x["s"] - F.lit(4.0 if r == 1 else 0.0)).cast("float").alias("s"), x["n"].alias("n"))).alias("near"))
-        before, near = near, staged(_merged(_compare(blocks, unpack12, (dim + 1) // 2 * 3, dim, keep).unionByName(known), keep), f"neighbours-{r}")
-        old = before.select("node", F.col("near").alias("old"))
-        change = near.join(old, "node", "left").agg(F.sum(F.size(F.array_except("near", F.coalesce("old", F.array().cast("array<bigint>"))))).alias("new"), F.sum(F.size("near")).alias("all")).first()
+        made = _merged(_compare(blocks, unpack12, (dim + 1) // 2 * 3, dim, keep).unionByName(known), keep)
+        old = near.select("node", F.col("near").alias("old"))
+        made = made.join(old, "node", "left").withColumn("fresh", F.array_except(F.slice("near", 1, keep - SPARE), F.coalesce("old", F.array().cast("array<bigint>")))).drop("old")
+        near = staged(made, f"neighbours-{r}")
+        change = near.agg(F.sum(F.size("fresh")).alias("new"), F.sum(F.size(F.slice("near", 1, keep - SPARE))).alias("all")).first()
         if (change["new"] or 0) <= DELTA * (change["all"] or 0):
             break
     return near.select("node", "near")
@@ -295,8 +313,8 @@ def most_similar(docs: DataFrame, k: int = 5, dim: int = 384, key: str = "doc_id
     return joined.select(F.col("key").alias("a"), F.posexplode(F.slice(F.concat(own, far), 1, k)).alias("pos", "b")).select("a", "b", (F.col("pos") + 1).alias("place"))
 
 
-#: Nodes of a bucket at which a search may start, and nodes a query keeps beyond those asked for.
-ENTRIES, BEAM = 32, 12
+#: Nodes of a bucket at which a search may start, nodes a query keeps beyond those asked for, rounds at most.
+ENTRIES, BEAM, ROUNDS = 32, 12, 50
 
 
 def _similar(pairs: DataFrame, asked: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -313,12 +331,13 @@ def _similar(pairs: DataFrame, asked: DataFrame, vectors: DataFrame, dim: int) -
     return joined.mapInArrow(run, f"query {dict(pairs.dtypes)['query']}, node bigint, s float")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 5, dim: int = 384, key: str = "doc_id", vector: str = "embedding", rounds: int = 3) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 5, dim: int = 384, key: str = "doc_id", vector: str = "embedding", rounds: int = ROUNDS) -> DataFrame:
     """(query, b, place): the ``k`` most similar rows of ``docs`` for each row of ``queries``, itself left out, by greedy search of the neighbour graph.
 
     A search starts at a few nodes of the query's buckets, and at the node equal to the query if there is one. Each round looks at the neighbours of the nodes it keeps that
-    it hasn't looked at, and keeps the best. Equal vectors are one node and come in order of their keys. Approximate;
-    a query whose buckets are empty has no row; queries and rows are told apart by ``key``.
+    it hasn't looked at, and keeps the best ``k + BEAM``; it ends when every query has looked at all it keeps. A query whose buckets
+    are empty starts at ``ENTRIES`` fixed nodes. A full bucket's entries differ by query: each takes those next to its own further hash.
+    Equal vectors are one node and come in order of their keys. Approximate; queries and rows are told apart by ``key``.
     """
     rows = usable(docs, key, vector, dim)
     n = docs.count()
@@ -339,17 +358,24 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 5, dim: int = 384, key:
     starts = staged(asked.select("key", "vector").mapInArrow(hashed, f"id {kind}, blocks array<bigint>, v binary"), "search-starts")
     asked_v = starts.groupBy(F.col("id").alias("query")).agg(F.first("v").alias("q"))
     vectors = staged(rows.select("node", "vector").mapInArrow(hashed, "id bigint, blocks array<bigint>, v binary"), "search-nodes")
-    w = Window.partitionBy("block").orderBy(F.xxhash64("id"))
-    entries = vectors.select("id", F.explode("blocks").alias("block")).distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= ENTRIES).select("block", F.col("id").alias("node"))
+    size = vectors.select("id", F.explode("blocks").alias("block")).distinct()
+    crowd = size.groupBy("block").agg(F.count(F.lit(1)).alias("m")).select("block", F.ceil(F.col("m") / ENTRIES).alias("parts"))
+    size = size.join(crowd, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("block", "part", F.col("id").alias("node"))
+    asking = starts.select(F.col("id").alias("query"), F.explode("blocks").alias("block")).join(crowd, "block").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts"))).select("block", "part", "query")
+    fixed = [r[0] for r in vectors.select("id").distinct().orderBy(F.xxhash64("id")).limit(ENTRIES).collect()]
     vectors = vectors.groupBy(F.col("id").alias("node")).agg(F.first("v").alias("v"))
     best = Window.partitionBy("query").orderBy(F.desc("s"), "node")
     keep = lambda found: found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + BEAM).drop("r")
-    pairs = starts.select(F.col("id").alias("query"), F.explode("blocks").alias("block")).join(entries, "block").select("query", "node")
-    pairs = pairs.unionByName(asked.select(F.col("key").alias("query"), "node")).distinct()
+    pairs = asking.join(size, ["block", "part"]).select("query", "node")
+    pairs = pairs.unionByName(asked.select(F.col("key").alias("query"), "node").join(rows.select("node").distinct(), "node", "left_semi").select("query", "node"))
+    lost = asked.select(F.col("key").alias("query")).join(pairs.select("query").distinct(), "query", "left_anti")
+    pairs = staged(pairs.unionByName(lost.select("query", F.explode(F.array(*[F.lit(x).cast("bigint") for x in fixed]) if fixed else F.array().cast("array<bigint>")).alias("node"))).distinct(), "search-entries")
     held = staged(keep(_similar(pairs, asked_v, vectors, dim)), "search-0")
     looked = held.limit(0).select("query", "node")
     for r in range(1, rounds + 1):
-        front = held.select("query", "node").join(looked, ["query", "node"], "left_anti")
+        front = staged(held.select("query", "node").join(looked, ["query", "node"], "left_anti"), f"search-front-{r}")
+        if front.isEmpty():
+            break
         steps = front.join(near, "node").select("query", F.explode("near").alias("node")).distinct().join(held, ["query", "node"], "left_anti")
         looked = looked.unionByName(front)
         held = staged(keep(held.unionByName(_similar(steps, asked_v, vectors, dim))), f"search-{r}")
