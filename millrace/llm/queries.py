@@ -102,7 +102,7 @@ def p9_containers(spark, sf_dir):
 
 
 def p10_found(spark, sf_dir):
-    return sentences.sentence_starts(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return sentences.sentence_starts(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), lang="lang")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_survivors, p6_found, p6_neighbours, p6_search, p7_found, p7_body, p8_ids, p9_containers, p10_found)}

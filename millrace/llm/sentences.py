@@ -16,9 +16,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-# Abbreviations in lower case without the last dot, all languages together.
+# Abbreviations in lower case without the last dot; ``OWN`` tells which belong to one language only.
 #: Never end a sentence: titles, references and words that need what follows.
 NEVER = set(
     "mr mrs ms mx dr dra sr sra srta lic ing prof st ft mt lt col gen sgt capt cpt maj rev hon gov sen rep pres supt messrs mme mlle mm mgr vgl bzw fr hr dipl med med.dent "
@@ -34,13 +36,32 @@ SOMETIMES = set(
     "suiv ss ff sqq inc corp co ltd llc plc gmbh bros jr esq etc usw uu u.s u.k u.n e.u d.c a.m p.m m.d ph.d r.n d.o m.p.h b.a m.a ave blvd rd hwy dept dist assn bldgs mon tue tues wed thu thur thurs fri sat sun "
     "est min max avg misc incl excl руб тыс млн млрд др пр т.д т.п g kg km cm mm hrs hr mins".split()
 )
+#: Abbreviations of one language: in a text tagged with another language of this table they are words.
+OWN = {
+    "de": set("vgl bzw hr dipl med.dent z d.h z.b u.a usw uu nr abs nrn".split()),
+    "fr": set("mme mlle mm mgr c.-à-d p.ex suiv".split()),
+    "es": set("sra srta lic ing pág págs núm".split()),
+    "en": set("messrs supt sgt capt cpt hon bldg rm hwy dept dist assn bros thurs tues".split()),
+}
+#: Words that begin a sentence rather than a name.
+_STARTS = set("the a an it he she we they you i this that these those there in on at for if but and our my his her its das der die es il elle le la les el los las".split())
+_OWNER = {w: k for k, ws in OWN.items() for w in ws}
 GERMAN_MONTHS = "januar februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep okt nov dez".split()
 
 _OPEN = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》"}
 _CLOSE = set("”“»›」』）)]】》\"'’")
 _FRENCH = {" »", "\u00a0»", "\u202f»"}
-_FULL = set("。！？｡।॥؟۔։።፧၊။។‼⁇⁈⁉")
-_TOKEN = re.compile(r"[.!?…。！？｡।॥؟۔։።፧။។‼⁇⁈⁉]+|[“”„«»‹›「」『』（）()\[\]【】《》\"]")
+
+#: Terminators of all scripts, by the standard's Sentence_Break property: STerm, and ATerm but the full stop. Full-width stops may stand in numbers.
+_ALL = "".join(chr(c) for c in range(0x80, 0x1F000) if not 0xD800 <= c <= 0xDFFF)
+_FULL = set(regex.findall(r"\p{Sentence_Break=STerm}|\p{Sentence_Break=ATerm}", _ALL)) | set("。！？｡।॥؟۔")
+_NUMERIC = set("．﹒․")
+_ENDS = re.escape(".!?…" + "".join(sorted(_FULL)))
+_PAIRED = r"[“”„«»‹›「」『』（）()\[\]【】《》\"]"
+_TOKEN = re.compile(rf"[{_ENDS}]+|{_PAIRED}")
+#: The same for texts within the first plane, whose class is one table look-up.
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+_PLAIN = re.compile(rf"[{_ASTRAL.sub('', _ENDS)}]+|{_PAIRED}")
 _TERMINATORS = ".!?…" + "".join(_FULL)
 _LINE = re.compile(r"[^\n\r\v\f\x85  ]+")
 _BLANK = re.compile(r"[\s​﻿]*")
@@ -52,8 +73,6 @@ _WORD = re.compile(r"[^\s\"“”„«»‹›「」『』（）()\[\]【】《
 _ROMAN = re.compile(r"(?=[IVXLC])X{0,3}(?:IX|IV|V?I{0,3})(?:\([a-z0-9]\))?(?![A-Za-z])")
 _LOWER_NAME = re.compile(r"[a-z]-[a-z]|[a-z][A-Z]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
-#: A pair of marks with more between is taken for stray marks.
-PAIR_REACH = 600
 #: Thai has no sentence mark: a space between two Thai letters ends a unit if both sides are at least so long.
 THAI_LEAST = 14
 
@@ -109,35 +128,38 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def _pairs(tokens: list[tuple[int, str]]) -> dict[int, int]:
-    """Place of each opening mark that is closed, with the place of its closing mark."""
+def _pairs(tokens: list[tuple[int, str]], text: str) -> dict[int, int]:
+    """Place of each opening mark that is closed, with the place of its closing mark, however far. A straight mark opens only before a letter and after none (6" is no quotation)."""
     out, stack, straight = {}, [], None
     for at, mark in tokens:
         if mark == '"':
-            if straight is None:
+            if straight is not None:
+                out[straight] = at
+                straight = None
+            elif not text[at - 1 : at].isalnum() and not text[at + 1 : at + 2].isspace():
                 straight = at
-            else:
-                if at - straight <= PAIR_REACH:
-                    out[straight] = at
-                    straight = None
-                else:
-                    straight = at
         elif stack and mark == _OPEN[stack[-1][1]]:
             o, _ = stack.pop()
-            if at - o <= PAIR_REACH:
-                out[o] = at
+            out[o] = at
         elif mark in _OPEN:
             stack.append((at, mark))
     return out
 
 
-def _ends(word: str, before: str, nxt: str, rest: str) -> bool:
-    """Whether a dot after ``word`` ends a sentence, a space and ``nxt`` following."""
+def _ends(word: str, before: str, nxt: str, rest: str, lang: str = "") -> bool:
+    """Whether a dot after ``word`` ends a sentence of language ``lang``, a space and ``nxt`` following."""
     low = word.lower().lstrip("'’-–—")
     if low[:2] in ("l'", "d'", "l’", "d’"):
         low = low[2:]
     number = nxt.isdigit() or nxt == "№" or bool(_ROMAN.match(rest))
     upper = nxt.isupper() or nxt in "\"“„«‹「(（[¿¡" or (nxt.isalpha() and not nxt.islower()) or bool(_LOWER_NAME.match(rest))
+    if lang in OWN and _OWNER.get(low, lang) != lang:
+        return upper or low.isalpha() and len(low) >= 4
+    if low in ("st", "ft", "mt") and upper and not number:  # a street or fort after its name ends, a saint before one doesn't
+        name = before.rstrip().rpartition(" ")[2]
+        return len(name) > 1 and name.isalpha() and name[0].isupper() and rest.split(None, 1)[0].lower() in _STARTS
+    if low == "al":
+        return upper and not before.rstrip().lower().endswith("et")
     if low in NEVER:
         return False
     if low in BEFORE_NUMBER:
@@ -163,10 +185,10 @@ def _ends(word: str, before: str, nxt: str, rest: str) -> bool:
     return True
 
 
-def _split(text: str, start: int, end: int, out: list[int]) -> None:
+def _split(text: str, start: int, end: int, out: list[int], lang: str = "") -> None:
     """Appends the starts of the units of text[start:end], which begins with no space."""
     out.append(start)
-    found = [(m.start(), m.group()) for m in _TOKEN.finditer(text, start, end)]
+    found = [(m.start(), m.group()) for m in (_TOKEN if _ASTRAL.search(text, start, end) else _PLAIN).finditer(text, start, end)]
     thai = None
     if "฀" <= text[start] <= "๿" or _THAI_GAP.search(text, start, end):
         thai = [m.end() for m in _THAI_GAP.finditer(text, start, end)]
@@ -177,7 +199,7 @@ def _split(text: str, start: int, end: int, out: list[int]) -> None:
         return
     marker = _MARKER.match(text, start, end)
     skip = marker.end() if marker else start
-    pairs = _pairs([x for x in found if x[1][0] not in _TERMINATORS]) if len(found) > 1 else {}
+    pairs = _pairs([x for x in found if x[1][0] not in _TERMINATORS], text) if len(found) > 1 else {}
     opens = {c: o for o, c in pairs.items()}
     inside = sorted(pairs.items())
     breaks, begun, k, until = [], start, 0, -1
@@ -212,19 +234,19 @@ def _split(text: str, start: int, end: int, out: list[int]) -> None:
         kind = mark[-1]
         starts_upper = not nxt.islower() or bool(_LOWER_NAME.match(text, b, min(end, b + 4)))
         if mark[0] in _FULL or kind in _FULL:
-            good = True
+            good = not (kind in _NUMERIC and text[at - 1 : at].isdigit() and nxt.isdigit() and not gap)
         elif "…" in mark or mark.count(".") > 1 and "!" not in mark and "?" not in mark:
             good = gap > 0 and starts_upper
         elif "!" in mark or "?" in mark:
             good = (gap > 0 and (starts_upper or q == e)) or (gap == 0 and (nxt.isupper() or nxt in "¿¡" or bool(_CJK.match(nxt))) and text[at - 1].isalpha() and "/" not in _WORD.search(text, max(start, at - 60), at).group())
         else:
-            word = _WORD.search(text, max(begun, at - 40), at).group()
+            word = _WORD.search(text, max(begun, text.rfind(" ", begun, at)), at).group()
             if not word and q == e:
                 if at == begun or text[at - 1].isspace():
                     continue
                 word = "x" * 4
             if gap:
-                good = q > e and starts_upper if q > e else _ends(word, text[max(begun, at - 12) : at - len(word)], nxt, text[b : b + 24])
+                good = q > e and starts_upper if q > e else _ends(word, text[max(begun, at - len(word) - 40) : at - len(word)], nxt, text[b : b + 24], lang)
                 if q > e and good and word.lower() in NEVER:
                     good = False
             else:
@@ -250,28 +272,31 @@ def _split(text: str, start: int, end: int, out: list[int]) -> None:
     out.extend(breaks)
 
 
-def unit_starts(text: str | None) -> list[int]:
-    """Offsets of the first characters of the sentence units; a NULL or blank text has none."""
+def unit_starts(text: str | None, lang: str | None = None) -> list[int]:
+    """Offsets of the first characters of the sentence units; a NULL or blank text has none. ``lang`` is a tag as found; unknown ones suppress the abbreviations of all languages."""
     out: list[int] = []
+    code = (lang or "").strip().lower()[:2]
     if text:
         for a, b in _blocks(text):
-            _split(text, a, b, out)
+            _split(text, a, b, out, code)
     return out
 
 
-def sentence_starts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sentence_starts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
     """Rows (``key``, start_char INT), one for each sentence unit; offsets in code points from 0.
 
     Headings, list items, table rows and other lines are units of their own; a list marker belongs to its item. NULL,
-    empty and blank texts have no unit. A repeated row gives its units again. Other columns are not read.
+    empty and blank texts have no unit. A repeated row gives its units again. ``lang`` names the column of the texts' language
+    tags, if there is one. Other columns are not read.
     """
 
     def run(batches):
         for batch in batches:
-            starts = [unit_starts(t) for t in batch.column(1).to_pylist()]
+            starts = [unit_starts(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             index = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
             values = np.fromiter((x for s in starts for x in s), np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(values, pa.int32())], names=[key, "start_char"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, start_char int")
+    tag = F.col(f"`{lang}`") if lang else F.lit(None).cast("string")
+    return docs.select(key, text, tag.alias("__lang")).mapInArrow(run, f"`{key}` {kind}, start_char int")

@@ -50,3 +50,25 @@ def test_blank_and_null(spark):
 def test_long_text_is_linear():
     assert len(unit_starts("A b c d. " * 20_000)) == 20_000
     assert unit_starts('"' * 50_000) and unit_starts("(" * 50_000) and unit_starts("." * 50_000)
+
+
+def cut(text, lang=None):
+    at = [*unit_starts(text, lang), len(text)]
+    return [text[a:b].strip() for a, b in zip(at, at[1:])]
+
+
+def test_long_quotations_hold_together():
+    said = " ".join(f"The board met on day {i}." for i in range(60))
+    assert len(said) > 1200 and len(cut(f"The clerk wrote “{said}” and left. All went home.")) == 2
+    assert cut('Use 6" pipe here. Then a 4" pipe there.') == ['Use 6" pipe here.', 'Then a 4" pipe there.']
+
+
+def test_terminators_of_all_scripts():
+    assert len(cut("第一の文です．次の文です．")) == 2 and cut("値は３．５です。次です。") == ["値は３．５です。", "次です。"]
+    assert len(cut("ᠮᠣᠩᠭᠣᠯ᠃ ᠪᠢᠴᠢᠭ᠃")) == 2 and len(cut("\U00011083\U00011084\U000110c0 \U00011083\U00011084\U000110c0")) == 2
+
+
+def test_abbreviations_by_language_and_place():
+    assert len(cut("I live on Main St. The house is old.", "en")) == 2 and len(cut("We went to St. Louis by train.", "en")) == 1
+    assert len(cut("Er wohnt in Raum 5 al. Das ist gut.", "de")) == 2 and len(cut("Smith et al. Found the rest.", "en")) == 1
+    assert len(cut("Sie prüft z. B. Proben.", "de")) == 1 and len(cut("Sie prüft z. B. Proben.", None)) == 1
