@@ -3,9 +3,11 @@
 Every different stored spelling is parsed once into what kind of body it names (words such as "health department",
 abbreviated or not, in any order) and its proper name (a place, or a person's given and family name). Proper names
 meet in a symmetric-delete index: each is entered under itself and itself less any one letter, so two names within
-one edit share an entry. An entry keeps only its best attested name (the one that most spellings contain), and every
-name looks up that hub, so no entry's names are paired with each other however many they are. A rare name joins a
-better attested one a single edit away; well attested names stay apart.
+one edit share an entry. Within an entry, what a name lacks there says which others are one edit away: those that lack a
+letter at the same place (substitution), the entry itself (deletion, insertion), those that lack the same letter one place
+on (swap). For each of these keys only the best attested name is kept (the one that most spellings contain), so every name
+finds its best partner one edit away although no entry's names are paired with each other. A rare name joins a better
+attested one; names of like standing stay apart.
 
 Then words are aligned: given names, initials and nicknames against the full given names known with that family name,
 and by optimal assignment each person's words against those of the class, middle initials too, and the kind words of a
@@ -45,6 +47,8 @@ ACRONYMS = {
 EMPTY = set("of the and for de la von der des & a an purchasing procurement attn attention contracts contracting buyer buyers bid bids c/o".split())
 PLACES = {"mt": "mount", "mnt": "mount", "ft": "fort", "lk": "lake", "st": "saint", "ste": "sainte", "pt": "port", "n": "north", "s": "south", "e": "east", "w": "west"}
 PLACEHOLDERS = set("unknown|n/a|na|none|null|nil|tbd|tba|-|--|—|?|not available|not provided|see notice|various|multiple|government agency|federal agency|state agency|local agency|agency|organization|buyer|other|anonymous|test".split("|"))
+#: Legal forms: a name with one, and no kind word, is a company, which all its other words name.
+COMPANIES = set("inc incorporated corp llc llp ltd limited plc gmbh ag kg sarl sas srl spa bv nv oy ab pty".split())
 NICKNAMES = {
     "abby": "abigail", "al": "albert", "alex": "alexander", "andy": "andrew", "drew": "andrew", "tony": "anthony", "ben": "benjamin", "chuck": "charles", "charlie": "charles", "chris": "christopher", "cathy": "catherine", "dan": "daniel", "danny": "daniel",
     "dave": "david", "deb": "deborah", "debbie": "deborah", "debby": "deborah", "don": "donald", "ed": "edward", "eddie": "edward", "ted": "theodore", "theo": "theodore", "beth": "elizabeth", "betty": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "eliza": "elizabeth",
@@ -153,6 +157,9 @@ def parse(org: str) -> tuple[str, str, str, str]:
         if glued and name.startswith(glued.group(1).lower()):
             name = PLACES[glued.group(1).lower()] + name[len(glued.group(1)) :]
         return " ".join(sorted(kinds)), name, "", ""
+    forms = [w for w in rest if w in COMPANIES]
+    if forms and len(rest) > len(forms):
+        return "company", "".join(_letters(w) for w in rest if w not in COMPANIES), "", ""
     people = [w for w in rest if w]
     if not people:
         return "", "", "", ""
@@ -181,23 +188,36 @@ def _cost(a: str, b: str) -> float:
 
 
 def alignment(a: list[str], b: list[str]) -> float:
-    """Least mean cost of matching the shorter word list into the longer (optimal assignment over subsets)."""
+    """Least mean cost of matching the shorter word list into the longer: an optimal assignment by shortest augmenting paths."""
     if len(a) > len(b):
         a, b = b, a
-    b = b[:12]
     if not a:
         return 0.0
-    best = {0: 0.0}
-    for w in a[:12]:
-        step: dict[int, float] = {}
-        for used, cost in best.items():
-            for j, v in enumerate(b):
-                if not used >> j & 1:
-                    c = cost + _cost(w, v)
-                    if c < step.get(used | 1 << j, 9e9):
-                        step[used | 1 << j] = c
-        best = step
-    return min(best.values()) / len(a)
+    n, m = len(a), len(b)
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, way, used = [9e9] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while owner[at]:
+            used[at] = True
+            row, step, to = owner[at], 9e9, 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = _cost(a[row - 1], b[j - 1]) - u[row] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, at
+                    if least[j] < step:
+                        step, to = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+        while at:
+            owner[at], at = owner[way[at]], way[at]
+    return sum(_cost(a[owner[j] - 1], b[j - 1]) for j in range(1, m + 1) if owner[j]) / n
 
 
 def _fits(kind: str, a: tuple[str, str, str], b: tuple[str, str, str], other: str = "") -> bool:
@@ -230,6 +250,26 @@ def _joined(both: DataFrame) -> DataFrame:
     return got.withColumn("who", F.when(F.col("world") == "place", kind).otherwise(F.col("who"))).withColumn("hub", F.coalesce("to.to_hub", "hub")).withColumn("kind", kind).drop("to")
 
 
+def _partners(names: DataFrame) -> DataFrame:
+    """(world, name, hub): of each name (world, name, spellings, n) the best attested one a single edit away, if it stands so much higher that the name counts as its slip."""
+    at = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.struct(F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.length("name"))).alias("entry"), i.alias("i"), F.substring(F.col("name"), i, F.lit(1)).alias("c")))
+    lacks = names.select("*", F.explode(at).alias("e")).select("world", "name", "spellings", "n", "e.entry", "e.i", "e.c")
+    standing = F.struct("spellings", "n", "name")
+    key = lambda *parts: F.concat_ws("\x01", *parts)
+    i = F.col("i").cast("string")
+    # keys under which a name offers itself, and under which it looks for others
+    offers = F.array(key("entry", F.lit("place"), i), key("entry", F.lit("any")), key("entry", F.lit("swap"), "c", i), key("entry", F.lit("swap"), "c", (F.col("i") + 1).cast("string")))
+    looks = F.array(key("entry", F.lit("place"), i), key("entry", F.lit("self")), key("entry", F.lit("swap"), "c", i), key("entry", F.lit("swap"), "c", (F.col("i") + 1).cast("string")))
+    whole = names.select("world", "name", "spellings", "n")
+    offered = lacks.select("world", F.explode(offers).alias("key"), standing.alias("who")).unionByName(whole.select("world", key("name", F.lit("self")).alias("key"), standing.alias("who")))
+    best = offered.groupBy("world", "key").agg(F.max("who").alias("hub"))
+    sought = lacks.select("world", "name", "spellings", "n", F.explode(looks).alias("key")).unionByName(whole.select("world", "name", "spellings", "n", key("name", F.lit("any")).alias("key")))
+    near = sought.distinct().join(best, ["world", "key"]).where((F.col("hub.name") != F.col("name")) & (F.col("hub") > standing))
+    more = F.col("hub.spellings") / F.col("spellings")
+    slip = F.when(F.length("name") < 5, (F.col("spellings") == 1) & (F.col("hub.spellings") >= 3)).otherwise((F.col("spellings") == 1) | (F.col("spellings") == 2) & (more > 1) | (more >= 3))
+    return near.where(slip).groupBy("world", "name").agg(F.max("hub").getField("name").alias("hub"))
+
+
 def classes(rows: DataFrame, column: str = "organization") -> DataFrame:
     """(org, class_id): every spelling that names a body or person, with its class; spellings of one class name the same.
 
@@ -246,21 +286,11 @@ def classes(rows: DataFrame, column: str = "organization") -> DataFrame:
     parsed = orgs.mapInPandas(run, "org string, n bigint, kind string, name string, given string, middle string, alts array<struct<kind:string,name:string>>").where(F.col("kind") != "")
     parsed = staged(parsed.withColumn("world", F.when(F.col("kind") == "person", "person").otherwise("place")), "parsed-names")
 
-    names = parsed.where(F.length("name") >= 5).groupBy("world", "name").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
-    entries = names.withColumn(
-        "entry", F.explode(F.array_distinct(F.concat(F.array("name"), F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.length("name")))))))
-    )
-    standing = F.struct("spellings", "n", "name")
-    hubs = entries.groupBy("world", "entry").agg(F.max(standing).alias("hub"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).drop("m")
-    near = entries.join(hubs, ["world", "entry"]).where((F.col("hub.name") != F.col("name")) & (F.col("hub") > standing))
-    lev = F.levenshtein("name", F.col("hub.name"))
-    swap = (lev == 2) & (F.length("name") == F.length("hub.name")) & (F.array_sort(F.split("name", "")) == F.array_sort(F.split("hub.name", "")))
-    rare = (F.col("spellings") <= 2) & (F.col("hub.spellings") > F.col("spellings")) | (F.col("spellings") == 1)
-    link = near.where(((lev <= 1) | swap) & rare).groupBy("world", "name").agg(F.max("hub").getField("name").alias("hub"))
+    link = _partners(parsed.where(F.col("name") != "").groupBy("world", "name").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n")))
     # a hub that joined a better one passes its names on
     second = link.select("world", F.col("name").alias("hub"), F.col("hub").alias("top"))
     link = link.join(second, ["world", "hub"], "left").select("world", "name", F.coalesce("top", "hub").alias("hub"))
-    placed = parsed.join(link, ["world", "name"], "left").withColumn("hub", F.coalesce("hub", "name"))
+    placed = staged(parsed.join(link, ["world", "name"], "left").withColumn("hub", F.coalesce("hub", "name")), "linked-names")
 
     bodies = placed.where("world = 'place'").withColumn("who", F.col("kind"))
     people = placed.where("world = 'person'")
@@ -272,7 +302,7 @@ def classes(rows: DataFrame, column: str = "organization") -> DataFrame:
     alone = F.size("often") <= 1
     people = people.withColumn("who", F.when(F.coalesce(slip, F.lit(False)), F.col("best.given")).when((F.length("given") <= 1) & (F.length("given") > 0) & alone, F.coalesce("best.given", "given")).otherwise(F.col("given")))
     cols = ["org", "n", "world", "kind", "name", "given", "middle", "hub", "who", "alts"]
-    both = _joined(staged(bodies.select(*cols).unionByName(people.select(*cols)).where(F.col("hub") != ""), "placed-names"))
+    both = staged(_joined(staged(bodies.select(*cols).unionByName(people.select(*cols)).where(F.col("hub") != ""), "placed-names")), "joined-names")
     # the middle initial that most rows of a class have; other initials are other persons
     middles = both.where("middle != ''").groupBy("kind", "hub", "who", "middle").agg(F.sum("n").alias("n"))
     top = middles.groupBy("kind", "hub", "who").agg(F.max(F.struct("n", "middle")).getField("middle").alias("initial"))

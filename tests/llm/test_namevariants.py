@@ -51,3 +51,16 @@ def test_alignment_takes_initials_and_abbreviations():
     assert N.alignment(["t", "lee"], ["lee", "theodore"]) < 0.1
     assert N.alignment(["dept", "health"], ["health", "department"]) < 0.1
     assert N.alignment(["ann", "lee"], ["bob", "ray"]) == 1.0
+
+
+def test_companies_and_middle_initials_stay_apart(spark):
+    apart = ["Acme Widgets Inc", "Acme Gadgets Inc", "Siemens Healthcare GmbH", "Siemens Energy GmbH", "John A. Smith", "John B. Smith"]
+    same = ["Acme Widgets, Inc.", "ACME WIDGETS INC"]
+    got = {r.org: r.class_id for r in N.classes(spark.createDataFrame([(o,) for o in apart + same], "organization string")).collect()}
+    assert len({got[o] for o in apart}) == len(apart) and {got[o] for o in same} == {got["Acme Widgets Inc"]}
+
+
+def test_every_name_finds_its_best_partner(spark):
+    rows = [("place", "marxin", 1, 1), ("place", "martin", 4, 9), ("place", "marina", 8, 20), ("place", "marin", 3, 5), ("place", "renl", 1, 1), ("place", "reno", 5, 9), ("place", "matrin", 1, 2)]
+    got = {r.name: r.hub for r in N._partners(spark.createDataFrame(rows, "world string, name string, spellings long, n long")).collect()}
+    assert got["marxin"] == "martin" and got["matrin"] == "martin" and got["renl"] == "reno" and "reno" not in got and "martin" not in got
