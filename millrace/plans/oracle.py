@@ -105,9 +105,9 @@ def signal_rows(url: bool) -> str:
 def lens_sql() -> str:
     out = ["1"]
     for x in L.ORDER[1:]:
-        s = " + ".join(f"2 * contains(t, {q(k)})::int" for k in L.KEYWORDS[x].split(","))
+        s = " + ".join(f"2 * contains(t, {q(k)})::int" for k in L.KEYWORDS[x])
         if x in L.BONUS:
-            w, words = L.BONUS[x]
+            w, words = L.BONUS[x][0], '|'.join(L.BONUS[x][1])
             s += f" + {w} * regexp_matches(t, {q(chr(92) + 'b(' + words + ')' + chr(92) + 'b')})::int"
         out.append(s)
     names = ", ".join(q(x) for x in L.ORDER)
