@@ -1,8 +1,9 @@
-"""Typed records and contacts out of free text, by rule tables that become column expressions.
+"""Typed records and contacts out of free text, by tables of fields that become column expressions.
 
-A rule table says how a record's kind is told and where each field is found; ``record`` compiles it to one struct of
-regular expressions, so nothing leaves the JVM. Patterns whose first part can begin at any letter of a run are anchored
-to the run's start (``RUN``), which finds the same match and keeps the cost linear in the text.
+A lens's table says how a record's kind is told, where each field is found and which signals raise its confidence; ``record``
+compiles it to one struct of regular expressions, so nothing leaves the JVM. Patterns whose first part can begin at any
+letter of a run are anchored to the run's start (``RUN``) or to a word's (``WORD``), which finds the same match and keeps the cost
+linear in the text.
 """
 
 from __future__ import annotations
@@ -12,103 +13,252 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import first_match, found
 
-#: Before a pattern that begins with letters and spaces: it can only match from the start of such a run.
+#: Before a pattern that begins with letters and spaces, or with a word: it can only match from the start of such.
 RUN = r"(?:^|[^a-zA-Z\s])\s*"
-_DATE = r"[A-Z][a-z]+ \d{1,2},?\s+\d{4}"
-_BODY = "County|City|State|Department|Agency|District|Bureau|Office|Authority|Commission"
-
-# Per lens the kinds in order (kind, pattern on text, pattern on url), the fields (name, [(scope, pattern, group)]), confidence base and step, and the fields that raise it.
-RULES = {
-    "procurement": {
-        "kinds": [
-            ("RFP", r"rfp|request for proposals?", None), ("RFQ", r"rfq|request for quotation|request for quote", None), ("RFT", r"rft|request for tenders?", None), ("solicitation", r"solicitations?", None),
-            ("bid", r"bid|bidding|invitation to bid|itb", None), ("tender", r"tender|tendering", None), ("contract", r"procurement|contract", None), ("quote", r"quote|quotation", None), ("proposal", r"proposals?", None),
-        ],
-        "fields": [
-            ("organization", [("text", rf"(?:{_BODY})\s+(?:of|for)\s+([A-Z][a-zA-Z\s]+)", 1), ("text", RUN + rf"([A-Z][a-zA-Z\s]+(?:{_BODY}))", 1)]),
-            ("due_date", [("text", rf"(?:due date|deadline|closing|responses due|submission deadline|response due)[:\s]+({_DATE})", 1), ("text", r"(?:due|deadline|closing)[:\s]+(\d{1,2}/\d{1,2}/\d{4})", 1), ("text", r"(?:due|deadline)[:\s]+(\d{4}-\d{2}-\d{2})", 1)]),
-            ("posted_date", [("text", rf"(?:posted|published|date|created|issued)[:\s]+({_DATE})", 1), ("text", r"(?:posted|published|date)[:\s]+(\d{1,2}/\d{1,2}/\d{4})", 1), ("text", r"(?:posted|published|date)[:\s]+(\d{4}-\d{2}-\d{2})", 1)]),
-            ("email", [("text", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0)]),
-            ("phone", [("text", r"(?:phone|tel|call|contact|telephone)[:\s]*(\+?1?[\d\s()-]{10,})", 1)]),
-            ("amount", [("text", r"\$[\d,]+(?:\.\d{2})?", 0)]),
-        ],
-        "base": 35, "step": 8, "raise": ["kind", "due_date", "email", "phone", "amount"],
-    },
-    "provider": {
-        "kinds": [],
-        "fields": [
-            ("name", [("text", RUN + r"([A-Z][a-zA-Z\s]+(?:Clinic|Center|Health|Medicine|Medical|Occupational|Wellness|Care))", 1), ("text", r"(?:provider|clinic|facility|practice|hospital)[:\s]+([A-Z][a-zA-Z\s]+)", 1)]),
-            ("address", [("text", r"(\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,8},\s+[A-Z]{2}\s+\d{5})", 1)]),
-            ("phone", [("text", r"(?:phone|tel|call|contact|telephone)[:\s]*(\+?1?[\d\s()-]{10,})", 1)]),
-        ],
-        "base": 35, "step": 8, "raise": ["name", "address", "phone"],
-    },
-    "pricing": {
-        "kinds": [
-            ("PFT", r"pft|spirometry|pulmonary function|lung function", None), ("DOT physical", r"dot physical|cdl physical|department of transportation", None), ("physical exam", r"physical exam|pre-employment|pre employment", None),
-            ("drug test", r"drug test|drug screening|drug screen|substance abuse", None), ("audiometry", r"audiometry|hearing test|hearing screening", None), ("respirator fit test", r"respirator|fit test|respiratory protection", None),
-            ("vaccination", r"vaccination|immunization|flu shot", None), ("imaging", r"x-ray|radiology|imaging", None), ("laboratory", r"lab|laboratory|blood work", None),
-        ],
-        "fields": [("amount", [("text", r"\$([\d,]+(?:\.\d{2})?)", 1)]), ("low", [("text", r"\$([\d,]+)\s*-\s*\$([\d,]+)", 1)]), ("high", [("text", r"\$([\d,]+)\s*-\s*\$([\d,]+)", 2)])],
-        "base": 35, "step": 8, "raise": ["kind", "amount"],
-    },
-    "legal": {
-        "kinds": [
-            ("case law", r"court|ruling|judgment|decision|case law|v\.|vs\.|plaintiff|defendant", None), ("statute", r"statute|act|bill|legislation|code|\d+\s+U\.S\.C\.|§\s+\d+", None),
-            ("regulation", r"regulation|rule|compliance|requirement|standard", None), ("compliance", r"adhere|mandate", None),
-        ],
-        "fields": [
-            ("case_name", [("text", r"(?:^|[^a-zA-Z\s&])\s*([A-Z][a-zA-Z\s&]+(?:v\.|vs\.|versus)[A-Z][a-zA-Z\s&]+)", 1), ("title", r"(?:^|[^a-zA-Z\s&])\s*([A-Z][a-zA-Z\s&]+(?:v\.|vs\.|versus)[A-Z][a-zA-Z\s&]+)", 1)]),
-            ("court", [("text", r"(?:Court of|Supreme Court|District Court|Circuit Court|Appellate Court)\s+(?:the\s+)?([A-Z][a-zA-Z\s]+)", 1)]),
-            ("jurisdiction", [("text", r"(?:Jurisdiction|State|Federal|Circuit)\s*[:\s]+([A-Z][a-zA-Z\s]+)", 1)]),
-            ("citation", [("text", r"\d+\s+F\.\d+|\d+\s+U\.S\.\s+\d+|\d+\s+S\.Ct\.\s+\d+", 0)]),
-            ("decision_date", [("text", rf"(?:Decided|Decision Date|Date)\s*[:\s]+({_DATE})", 1), ("text", r"(\d{1,2}/\d{1,2}/\d{4})", 1)]),
-            ("statute_name", [("text", r"(?:Act|Statute|Code)\s+(?:of\s+)?([A-Z][a-zA-Z\s]+)", 1)]),
-            ("regulation_number", [("text", r"(?:Regulation|Rule|CFR)\s*[:\s]+(\d+\s+CFR\s+\d+\.?\d*)", 1)]),
-        ],
-        "base": 40, "step": 10, "raise": ["case_name", "citation", "court", "kind"],
-    },
-    "medical": {
-        "kinds": [("clinical trial", r"clinical trial|study|research|investigation|nct\d+", None), ("treatment", r"clinical|treatment|therapy|intervention|procedure", None), ("diagnosis", r"diagnosis|diagnostic|screening|test", None), ("medication", r"medication|drug", None)],
-        "fields": [
-            ("condition", [("text", r"(?:condition|disease|disorder|syndrome)\s*[:\s]+([A-Z][a-zA-Z\s]+)", 1), ("title", RUN + r"([A-Z][a-zA-Z\s]+(?:Disease|Disorder|Syndrome|Condition))", 1)]),
-            ("treatment", [("text", r"(?:treatment|therapy)\s*(?:for|of)\s+([a-zA-Z\s]+)", 1)]),
-            ("diagnosis", [("text", r"(?:diagnosis|diagnosed as)\s*[:\s]+([a-zA-Z\s]+)", 1)]),
-            ("study_type", [("text", r"(?:study type|design)\s*[:\s]+([a-zA-Z\s]+)", 1)]),
-            ("trial_id", [("text", r"NCT\d+", 0)]),
-            ("publication_date", [("text", rf"(?:Published|Publication Date)\s*[:\s]+({_DATE})", 1), ("text", r"(\d{1,2}/\d{1,2}/\d{4})", 1)]),
-        ],
-        "base": 40, "step": 10, "raise": ["condition", "trial_id", "kind"],
-    },
-    "academic": {
-        "kinds": [("journal", r"journal|article|paper", r"doi\.org"), ("conference", r"conference|proceedings|symposium", None), ("thesis", r"thesis|dissertation|doctoral", None), ("preprint", r"preprint|arxiv|biorxiv|medrxiv", r"arxiv\.org")],
-        "fields": [
-            ("authors", [("text", r"(?:Authors?|By)\s*[:\s]+([A-Z][a-zA-Z\s,]+)", 1)]),
-            ("journal", [("text", r"(?:Journal|Published in)\s*[:\s]+([A-Z][a-zA-Z\s]+)", 1)]),
-            ("publication_date", [("text", rf"(?:Published|Date|Publication)[:\s]+({_DATE})", 1)]),
-            ("doi", [("text", r"doi[:\s]+(10\.\d+/[^\s]+)", 1), ("url", r"doi\.org/(10\.\d+/[^\s]+)", 1)]),
-            ("citations", [("text", r"(?:citations|cited by)[:\s]+(\d+)", 1)]),
-            ("abstract", [("text", r"(?:Abstract|Summary)[:\s]+([^.]+\.)", 1)]),
-        ],
-        "base": 35, "step": 8, "raise": ["kind", "doi", "authors", "journal", "publication_date"],
-    },
-    "financial": {
-        "kinds": [
-            ("earnings", r"earnings|revenue|profit|income statement|q\d+|fiscal", None), ("report", r"financial report|annual report|10-k|10-q", None), ("market", r"market|stock|trading|equity|share", None),
-            ("economic", r"economic|gdp|inflation|unemployment|federal reserve", None),
-        ],
-        "fields": [
-            ("company", [("text", r"(?:Company|Corporation|Inc\.|LLC)\s*[:\s]+([A-Z][a-zA-Z\s]+)", 1), ("title", RUN + r"([A-Z][a-zA-Z\s]+(?:Inc\.|LLC|Corporation|Company))", 1)]),
-            ("ticker", [("text", r"\(([A-Z]{1,5})\)", 1), ("text", r"(?:NYSE|NASDAQ):\s*([A-Z]{1,5})", 1)]),
-            ("report_type", [("text", r"(?:Report Type|Form)\s*[:\s]+([A-Z0-9-]+)", 1)]),
-            ("period", [("text", r"(?:Period|Quarter|Fiscal Year)\s*[:\s]+([A-Z0-9\s]+)", 1)]),
-            ("revenue", [("text", r"(?:Revenue|Total Revenue)\s*[:\s]?\$?([\d,]+(?:\.\d{2})?)", 1)]),
-            ("profit", [("text", r"(?:Profit|Net Income|Earnings)\s*[:\s]?\$?([\d,]+(?:\.\d{2})?)", 1)]),
-            ("eps", [("text", r"(?:EPS|Earnings Per Share)\s*[:\s]?\$?([\d.]+)", 1)]),
-        ],
-        "base": 40, "step": 10, "raise": ["company", "ticker", "revenue", "kind"],
-    },
-}
+WORD = r"(?<![a-zA-Z])"
+
+# Patterns, matched in any case, with the kinds and labels that they stand for; bases and steps of confidence.
+PHONE_LABELLED = r"(?:phone|tel|call|contact|telephone)[:\s]*(\+?1?[\d\s\-\(\)]{10,})"
+PHONE_BARE = r"(\+?1?[\d\s\-\(\)]{10,})"
+LONG_DATE = r"([A-Z][a-z]+ \d{1,2},?\s+\d{4})"
+SLASHED = r"(\d{1,2}\/\d{1,2}\/\d{4})"
+PAYERS = {
+    "self": r"self-pay|cash pay|out-of-pocket|private pay",
+    "employer": r"employer|work comp|workers compensation|workers' comp",
+    "insurance": r"insurance|in-network|blue cross|aetna|cigna|united",
+}
+KINDS = {
+    "procurement": [
+        ("RFP", r"rfp|request for proposal|request for proposals"),
+        ("RFQ", r"rfq|request for quotation|request for quote"),
+        ("RFT", r"rft|request for tender|request for tenders"),
+        ("solicitation", r"solicitation|solicitations"),
+        ("bid", r"bid|bidding|invitation to bid|itb"),
+        ("tender", r"tender|tendering"),
+        ("procurement", r"procurement|contract"),
+        ("RFQ", r"quote|quotation"),
+        ("RFP", r"proposal|proposals"),
+    ],
+    "pricing": [
+        ("PFT", r"pft|spirometry|pulmonary function|lung function"),
+        ("DOT", r"dot physical|cdl physical|department of transportation"),
+        ("physical", r"physical exam|pre-employment|pre employment"),
+        ("drug test", r"drug test|drug screening|drug screen|substance abuse"),
+        ("audiometry", r"audiometry|hearing test|hearing screening"),
+        ("respirator", r"respirator|fit test|respiratory protection"),
+        ("vaccination", r"vaccination|immunization|flu shot"),
+        ("x-ray", r"x-ray|radiology|imaging"),
+        ("lab", r"lab|laboratory|blood work"),
+    ],
+    "legal": [
+        ("case law", r"court|ruling|judgment|decision|case law|v\.|vs\.|plaintiff|defendant"),
+        ("statute", r"statute|act|bill|legislation|code|\d+\s+U\.S\.C\.|§\s+\d+"),
+        ("regulation", r"regulation|rule|compliance|requirement|standard"),
+        ("compliance", r"compliance|adhere|requirement|mandate"),
+    ],
+    "medical": [
+        ("research", r"clinical trial|study|research|investigation|nct\d+"),
+        ("clinical", r"clinical|treatment|therapy|intervention|procedure"),
+        ("diagnosis", r"diagnosis|diagnostic|screening|test"),
+        ("treatment", r"treatment|therapy|medication|drug"),
+    ],
+    "academic": [
+        ("journal", r"journal|article|paper", r"doi\.org"),
+        ("conference", r"conference|proceedings|symposium"),
+        ("thesis", r"thesis|dissertation|doctoral"),
+        ("preprint", r"preprint|arxiv|bioRxiv|medRxiv", r"arxiv\.org"),
+    ],
+    "financial": [
+        ("earnings", r"earnings|revenue|profit|income statement|q\d+|fiscal"),
+        ("report", r"financial report|annual report|10-k|10-q"),
+        ("market", r"market|stock|trading|equity|share"),
+        ("economic", r"economic|gdp|inflation|unemployment|federal reserve"),
+    ],
+}
+STATUS = [
+    ("open", r"open|active|current|accepting proposals|accepting bids"),
+    ("closed", r"closed|awarded|expired|complete|withdrawn"),
+    ("active", r"pending|under review|evaluation"),
+]
+SERVICES = [
+    ("occupational health", r"occupational health|occupational medicine|occ health"),
+    ("DOT physical", r"dot physical|cdl physical|department of transportation"),
+    ("drug testing", r"drug test|drug screening|drug screen|substance abuse"),
+    ("PFT", r"pft|spirometry|pulmonary function|lung function"),
+    ("audiometry", r"audiometry|hearing test|hearing screening"),
+    ("respirator fit test", r"respirator|fit test|respiratory protection"),
+    ("physical exams", r"physical exam|pre-employment|pre employment"),
+    ("vaccinations", r"vaccination|immunization|flu shot|tb test"),
+    ("x-ray services", r"x-ray|radiology|imaging"),
+    ("laboratory services", r"lab|laboratory|blood work"),
+]
+CREDENTIALS = [
+    ("Board Certified", r"board certified|board-certified"),
+    ("Licensed", r"licensed|licensure"),
+    ("Accredited", r"accredited|accreditation"),
+    ("Certified", r"certified|certification"),
+    ("Fellow", r"fellow|fellowship"),
+]
+CONFIDENCE = {"procurement": (35, 8), "provider": (35, 8), "pricing": (35, 8), "legal": (40, 10), "medical": (40, 10), "academic": (35, 8), "financial": (40, 10)}
+LENSES = list(CONFIDENCE)
+
+
+class _Page:
+    """The text, url and title of a page as columns, and ways to look for fields in them; NULLs count as empty."""
+
+    def __init__(self, text: Column, url: Column, title: Column):
+        self.text, self.url, self.title = (F.coalesce(c, F.lit("")) for c in (text, url, title))
+
+    def first(self, *patterns: str, group: int = 1, title: bool = False) -> Column:
+        """First match of the first pattern that has any, in the text and then, with ``title``, in the title; trimmed, NULL if none."""
+        tries = [(c, p, group) for p in patterns for c in ((self.text, self.title) if title else (self.text,))]
+        return F.nullif(F.trim(first_match(tries)), F.lit(""))
+
+    def phone(self) -> Column:
+        return F.nullif(F.regexp_replace(first_match([(self.text, PHONE_LABELLED, 1), (self.text, PHONE_BARE, 1)]), r"[\s\-\(\)]", ""), F.lit(""))
+
+    def has(self, pattern: str) -> Column:
+        return found(self.text, pattern)
+
+    def kind(self, lens: str, title: bool = False) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern, *on_url in reversed(KINDS[lens]):
+            hit = self.has(pattern) | found(self.title, pattern) if title else self.has(pattern)
+            out = F.when(hit | found(self.url, on_url[0]) if on_url else hit, name).otherwise(out)
+        return out
+
+    def labels(self, table: list[tuple[str, str]]) -> Column:
+        return F.array_compact(F.array(*[F.when(self.has(p), name) for name, p in table]))
+
+    def words_of_title(self, n: int) -> Column:
+        return F.array_join(F.slice(F.split(self.title, r"\s+"), 1, n), " ")
+
+
+def _dollars(c: Column) -> Column:
+    return F.concat(F.lit("$"), c)
+
+
+def _procurement(p: _Page) -> tuple[dict, list]:
+    bodies = "County|City|State|Department|Agency|District|Bureau|Office|Authority|Commission"
+    kinds = "services?|health|medicine|clinic|care|support|management|consulting"
+    status = F.lit("unknown")
+    for name, pattern in reversed(STATUS):
+        status = F.when(p.has(pattern), name).otherwise(status)
+    f = {
+        "kind": p.kind("procurement", title=True),
+        "organization": F.coalesce(p.first(rf"(?:{bodies})\s+(?:of|for)\s+([A-Z][a-zA-Z\s]+)", RUN + rf"([A-Z][a-zA-Z\s]+(?:{bodies}))", r"(?:Department|Agency|Office)\s+of\s+([A-Z][a-zA-Z\s]+)", title=True), p.words_of_title(3)),
+        "service": F.coalesce(p.first(rf"(?:for|providing|offering|services?|contract for)\s+([a-zA-Z\s]+(?:{kinds}))", RUN + r"([a-zA-Z\s]+(?:Health|Medicine|Services|Care|Support|Management|Consulting))", title=True), F.lit("professional services")),
+        "due_date": p.first(r"(?:due date|deadline|closing|responses due|submission deadline|response due)[:\s]+" + LONG_DATE, r"(?:due|deadline|closing)[:\s]+" + SLASHED, r"(?:due|deadline)[:\s]+(\d{4}-\d{2}-\d{2})", r"(?:due|deadline)[:\s]+(\d{1,2}\s+[A-Z][a-z]+,\s+\d{4})"),
+        "email": p.first(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", group=0),
+        "phone": p.phone(),
+        "amount": p.first(r"\$[\d,]+(?:\.\d{2})?", r"\$\d+\s*(?:million|billion|k|K|M|B)", r"(?:estimated|approx|about|up to)\s*\$[\d,]+", group=0),
+        "posted_date": p.first(r"(?:posted|published|date|created|issued)[:\s]+" + LONG_DATE, r"(?:posted|published|date)[:\s]+" + SLASHED, r"(?:posted|published|date)[:\s]+(\d{4}-\d{2}-\d{2})"),
+        "status": status,
+    }
+    return f, [
+        ("procurement language", f["kind"].isNotNull()), (".gov domain", found(p.url, r"\.gov")), ("procurement portal", found(p.url, r"sam\.gov|bonfire|planetbids|ionwave|bidnet|governmentbids|rfpdb")),
+        ("includes deadline", f["due_date"].isNotNull()), ("monetary value", f["amount"].isNotNull()), ("active opportunity", f["status"] == "open"), ("contact email", f["email"].isNotNull()), ("contact phone", f["phone"].isNotNull()),
+    ]
+
+
+def _provider(p: _Page) -> tuple[dict, list]:
+    address = p.first(r"(\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+,\s+[A-Z]{2}\s+\d{5})", r"(\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\s+[A-Z]{2}\s+\d{5})", WORD + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+,\s+[A-Z]{2}\s+\d{5})")
+    parts = F.split(address, ", ")
+    street, rest, cut = F.get(parts, F.lit(0)), F.trim(F.get(parts, F.lit(1))), F.size(parts) >= 2
+    f = {
+        "name": F.coalesce(p.first(RUN + r"([A-Z][a-zA-Z\s]+(?:Clinic|Center|Health|Medicine|Medical|Occupational|Wellness|Care))", r"(?:provider|clinic|facility|practice|hospital)[:\s]+([A-Z][a-zA-Z\s]+)", RUN + r"([A-Z][a-zA-Z\s]+(?:Associates|Group|Partners))", title=True), p.words_of_title(2)),
+        "address": address,
+        "city": F.when(cut, F.coalesce(F.nullif(F.trim(F.get(F.split(street, r"\d+"), F.lit(1))), F.lit("")), street)),
+        "state": F.when(cut, F.nullif(F.regexp_extract(rest, r"^([A-Z]{2})", 1), F.lit(""))),
+        "zip": F.when(cut, F.nullif(F.regexp_extract(rest, r"(\d{5})", 1), F.lit(""))),
+        "phone": p.phone(),
+        "services": p.labels(SERVICES),
+        "credentials": p.labels(CREDENTIALS),
+        "accepts_self_pay": p.has(PAYERS["self"]),
+        "accepts_employer": p.has(PAYERS["employer"]),
+        "accepts_insurance": p.has(PAYERS["insurance"]),
+    }
+    return f, [
+        ("physical address", address.isNotNull()), ("contact information", f["phone"].isNotNull()), ("occupational services", F.size(f["services"]) > 0),
+        ("credentials", F.size(f["credentials"]) > 0), ("accepts insurance", f["accepts_insurance"]),
+    ]
+
+
+def _pricing(p: _Page) -> tuple[dict, list]:
+    dash, words = r"\$([\d,]+)\s*-\s*\$([\d,]+)", r"(?:from|between)\s*\$([\d,]+)\s*(?:and|to)\s*\$([\d,]+)"
+    low, high = p.first(dash, words, group=1), p.first(dash, words, group=2)
+    cash = r"self-pay|cash|out-of-pocket|private pay"
+    kind = p.kind("pricing")
+    f = {
+        "kind": kind,
+        "name": F.coalesce(p.first(RUN + r"([A-Z][a-zA-Z\s]+(?:Clinic|Center|Health|Medicine|Medical))", r"(?:provider|clinic|facility|practice)[:\s]+([A-Z][a-zA-Z\s]+)", title=True), p.words_of_title(2)),
+        "service": F.coalesce(F.concat(kind, F.lit(" testing")), F.lit("occupational health services")),
+        "price_cash": _dollars(p.first(rf"(?:{cash})[:\s]*\$?([\d,]+(?:\.\d{{2}})?)", r"\$([\d,]+(?:\.\d{2})?)\s*(?:self-pay|cash|out-of-pocket)")),
+        "price_employer": _dollars(p.first(r"(?:employer|work comp|workers comp|workers' comp)[:\s]*\$?([\d,]+(?:\.\d{2})?)", r"\$([\d,]+(?:\.\d{2})?)\s*(?:employer|work comp)")),
+        "price_range": F.concat(_dollars(low), F.lit(" - "), _dollars(high)),
+        "payment_types": F.concat(*[F.when(p.has(x), F.array(*map(F.lit, said))).otherwise(F.array().cast("array<string>")) for x, said in ((cash, ("self-pay", "cash")), (PAYERS["employer"], ("employer", "work comp")), (PAYERS["insurance"], ("insurance",)))]),
+    }
+    return f, [("self-pay mention", f["price_cash"].isNotNull()), ("employer payment", f["price_employer"].isNotNull()), ("service category", kind.isNotNull()), ("pricing document", p.has(r"fee schedule|price list|rate card|pricing"))]
+
+
+def _legal(p: _Page) -> tuple[dict, list]:
+    f = {
+        "kind": p.kind("legal"),
+        "case_name": p.first(r"(?:^|[^a-zA-Z\s&])[\s&]*([A-Z][a-zA-Z\s&]+(?:v\.|vs\.|versus)[A-Z][a-zA-Z\s&]+)", title=True),
+        "court": p.first(r"(?:Court of|Supreme Court|District Court|Circuit Court|Appellate Court)\s+(?:the\s+)?([A-Z][a-zA-Z\s]+)"),
+        "jurisdiction": p.first(r"(?:Jurisdiction|State|Federal|Circuit)\s*[:\s]+([A-Z][a-zA-Z\s]+)"),
+        "citation": p.first(r"\d+\s+F\.\d+|\d+\s+U\.S\.\s+\d+|\d+\s+S\.Ct\.\s+\d+", group=0),
+        "decision_date": p.first(r"(?:Decided|Decision Date|Date)\s*[:\s]+" + LONG_DATE, SLASHED),
+        "statute_name": p.first(r"(?:Act|Statute|Code)\s+(?:of\s+)?([A-Z][a-zA-Z\s]+)"),
+        "regulation_number": p.first(r"(?:Regulation|Rule|CFR)\s*[:\s]+(\d+\s+CFR\s+\d+\.?\d*)"),
+    }
+    return f, [("case name", f["case_name"].isNotNull()), ("citation", f["citation"].isNotNull()), ("court", f["court"].isNotNull()), ("legal type", f["kind"].isNotNull())]
+
+
+def _medical(p: _Page) -> tuple[dict, list]:
+    f = {
+        "kind": p.kind("medical"),
+        "condition": F.coalesce(p.first(r"(?:condition|disease|disorder|syndrome)\s*[:\s]+([A-Z][a-zA-Z\s]+)"), F.nullif(F.trim(first_match([(p.title, RUN + r"([A-Z][a-zA-Z\s]+(?:Disease|Disorder|Syndrome|Condition))", 1)])), F.lit(""))),
+        "treatment": p.first(r"(?:treatment|therapy)\s*(?:for|of)\s+([a-zA-Z\s]+)"),
+        "diagnosis": p.first(r"(?:diagnosis|diagnosed as)\s*[:\s]+([a-zA-Z\s]+)"),
+        "study_type": p.first(r"(?:study type|design)\s*[:\s]+([a-zA-Z\s]+)"),
+        "trial_id": p.first(r"NCT\d+", group=0),
+        "publication_date": p.first(r"(?:Published|Publication Date)\s*[:\s]+" + LONG_DATE, SLASHED),
+    }
+    return f, [("condition", f["condition"].isNotNull()), ("clinical trial ID", f["trial_id"].isNotNull()), ("medical type", f["kind"].isNotNull()), ("academic source", found(p.url, r"\.edu\b")), ("government source", found(p.url, r"\.gov\b"))]
+
+
+def _academic(p: _Page) -> tuple[dict, list]:
+    authors = p.first(r"(?:Authors?|By)\s*[:\s]+([A-Z][a-zA-Z\s,]+)")
+    f = {
+        "kind": p.kind("academic"),
+        "paper_title": p.title,
+        "authors": F.transform(F.split(authors, ","), lambda x: F.trim(x)),
+        "journal": p.first(r"(?:Journal|Published in)\s*[:\s]+([A-Z][a-zA-Z\s]+)"),
+        "publication_date": p.first(r"(?:Published|Date|Publication)[:\s]+" + LONG_DATE),
+        "doi": F.coalesce(p.first(r"doi[:\s]+(10\.\d+\/[^\s]+)"), F.nullif(F.regexp_extract(p.url, r"doi\.org\/(10\.\d+\/[^\s]+)", 1), F.lit(""))),
+        "citations": p.first(r"(?:citations|cited by)[:\s]+(\d+)").try_cast("bigint"),
+        "abstract": p.first(r"(?:Abstract|Summary)[:\s]+([^.]+\.)"),
+    }
+    return f, [("academic type detected", f["kind"].isNotNull()), ("DOI present", f["doi"].isNotNull()), ("authors listed", authors.isNotNull()), ("journal specified", f["journal"].isNotNull()), ("publication date", f["publication_date"].isNotNull())]
+
+
+def _financial(p: _Page) -> tuple[dict, list]:
+    marks = r"\(([A-Z]{1,5})\)|NYSE:\s*([A-Z]{1,5})|NASDAQ:\s*([A-Z]{1,5})"
+    f = {
+        "kind": p.kind("financial"),
+        "company": F.coalesce(p.first(r"(?:Company|Corporation|Inc\.|LLC)\s*[:\s]+([A-Z][a-zA-Z\s]+)"), F.nullif(F.trim(first_match([(p.title, RUN + r"([A-Z][a-zA-Z\s]+(?:Inc\.|LLC|Corporation|Company))", 1)])), F.lit(""))),
+        "ticker": F.coalesce(*[p.first(marks, group=i) for i in (1, 2, 3)]),
+        "report_type": p.first(r"(?:Report Type|Form)\s*[:\s]+([A-Z0-9-]+)"),
+        "period": p.first(r"(?:Period|Quarter|Fiscal Year)\s*[:\s]+([A-Z0-9\s]+)"),
+        "revenue": _dollars(p.first(r"(?:Revenue|Total Revenue)\s*[:\s]?\$?([\d,]+(?:\.\d{2})?)")),
+        "profit": _dollars(p.first(r"(?:Profit|Net Income|Earnings)\s*[:\s]?\$?([\d,]+(?:\.\d{2})?)")),
+        "eps": _dollars(p.first(r"(?:EPS|Earnings Per Share)\s*[:\s]?\$?([\d.]+)")),
+    }
+    return f, [("company name", f["company"].isNotNull()), ("ticker", f["ticker"].isNotNull()), ("revenue", f["revenue"].isNotNull()), ("financial type", f["kind"].isNotNull()), ("government source", found(p.url, r"\.gov\b"))]
+
+
+_MAKERS = {"procurement": _procurement, "provider": _provider, "pricing": _pricing, "legal": _legal, "medical": _medical, "academic": _academic, "financial": _financial}
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?:\+?1[-. ]?)?(?:\(\d{3}\) ?|\d{3}[-. ])?\d{3}[-. ]\d{4}"
 WEBSITE = r"https?://(?:www\.)?[a-zA-Z0-9-]+\.[a-zA-Z]{2,}(?:/[a-zA-Z0-9._~:/?#@!$&'()*+,;=\[\]-]*)?"
@@ -119,23 +269,17 @@ LINKEDIN = r"(?i)linkedin\.com/(?:in|company)/[a-zA-Z0-9_-]+"
 
 
 def record(lens: str, text: Column, url: Column, title: Column) -> Column:
-    """STRUCT of a lens's fields: kind, each field (trimmed, NULL if absent), confidence. NULL texts give NULL fields."""
-    rule = RULES[lens]
-    scope = {"text": F.coalesce(text, F.lit("")), "url": F.coalesce(url, F.lit("")), "title": F.coalesce(title, F.lit(""))}
-    kind = F.lit(None).cast("string")
-    for name, on_text, on_url in reversed(rule["kinds"]):
-        hit = found(scope["text"], on_text)
-        kind = F.when(hit | found(scope["url"], on_url) if on_url else hit, name).otherwise(kind)
-    made = {"kind": kind}
-    for name, tries in rule["fields"]:
-        made[name] = F.nullif(F.trim(first_match([(scope[s], p, g) for s, p, g in tries])), F.lit(""))
-    points = sum((made[x].isNotNull().cast("int") for x in rule["raise"]), F.lit(0))
-    return F.struct(*[c.alias(n) for n, c in made.items()], F.least(F.lit(95), rule["base"] + rule["step"] * points).alias("confidence"))
+    """STRUCT of a lens's fields (trimmed, NULL if absent), ``signals`` (names of those that hold, in order) and ``confidence``, which each signal raises up to 95."""
+    fields, signals = _MAKERS[lens](_Page(text, url, title))
+    base, step = CONFIDENCE[lens]
+    points = sum((F.coalesce(on, F.lit(False)).cast("int") for _, on in signals), F.lit(0))
+    named = F.array_compact(F.array(*[F.when(on, name) for name, on in signals]))
+    return F.struct(*[c.alias(n) for n, c in fields.items()], named.alias("signals"), F.least(F.lit(95), base + step * points).alias("confidence"))
 
 
 def route(lens: Column, text: Column, url: Column, title: Column) -> Column:
     """STRUCT with one record a lens, all NULL but that of the row's lens."""
-    return F.struct(*[F.when(lens == x, record(x, text, url, title)).alias(x) for x in RULES])
+    return F.struct(*[F.when(lens == x, record(x, text, url, title)).alias(x) for x in LENSES])
 
 
 def entities(text: Column) -> Column:

@@ -36,4 +36,16 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def group_rank(df: DataFrame, group: str, *order: Column, out: str = "rank_in_group") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """Rank 1..n within each value of ``group`` (NULL is one too), without moving a group to one task.
+
+    Rows are range-partitioned by group and order, so a hot group spans many partitions; a row's rank is its place among its
+    group's rows in its partition plus what the group has in the partitions before. Only group and partition counts move further.
+    """
+    g = F.col(f"`{group}`")
+    kept = staged(df.repartitionByRange(g, *order).sortWithinPartitions(g, *order).withColumn("__at", F.monotonically_increasing_id()), "group-ranked")
+    part = F.shiftright("__at", 33)
+    runs = kept.groupBy(g.alias("__g"), part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("__g", "__p", (before - F.col("__first") + 1).alias("__shift"))
+    joined = kept.withColumn("__p", part).join(runs.withColumnRenamed("__p", "__q"), (F.col("__p") == F.col("__q")) & g.eqNullSafe(F.col("__g")))
+    return joined.withColumn(out, F.col("__at") + F.col("__shift")).drop("__at", "__p", "__q", "__g", "__shift")

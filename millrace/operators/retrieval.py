@@ -103,12 +103,20 @@ def hybrid(docs: DataFrame, query: str, alpha: float = 0.5, key: str = "doc_id",
     return both.select(key, "bm25", "cosine", (a * F.col("bm25") / mb + (1 - a) * F.col("cosine") / mc).alias("score"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is worked out once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hash_embedding(text: Column, dim: int = 384) -> Column:
-    """ARRAY<DOUBLE>: slot i holds (i + 1) times the text's 32-bit hash, wrapped, its last three digits over 1000, scaled to unit length; zeros for an empty text."""
-    h = rolling_hash(F.regexp_replace(F.lower(text), r"[\s ﻿]+", " "))
-    raw = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (signed32(F.pmod(h * i, F.lit(2**32))) % 1000) / 1000.0)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """ARRAY<DOUBLE>: slot i holds (i + 1) times the text's 32-bit hash, wrapped, its last three digits over 1000, scaled to unit length; zeros for an empty text, NULL for NULL.
+
+    Hash, slots and length are each bound once, so the cost is linear in the text and in ``dim``.
+    """
+    h = rolling_hash(F.regexp_replace(F.lower(text), r"[\s\u00A0\uFEFF]+", " "))
+    slots = _bound(h, lambda x: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (signed32(F.pmod(x * i, F.lit(2**32))) % 1000) / 1000.0))
+    measured = _bound(slots, lambda r: F.struct(r.alias("r"), F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    return _bound(measured, lambda m: F.transform(m["r"], lambda x: F.when(m["n"] > 0, x / m["n"]).otherwise(0.0)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -118,53 +126,56 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-#: Stated queries that go through at once.
-BLOCK = 20_000
+#: Rows of a packed matrix, and bytes of packed queries that are broadcast at most.
+PACK, SHARED = 2048, 64 << 20
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query, key, similarity, place): for each row of ``queries`` its ``k`` nearest other rows, exact, ties to the smaller key.
+def _packed(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(dim, ids BINARY, v BINARY): rows of one length packed into matrices of unit vectors, made where the rows lie; NULL vectors are left out."""
 
-    For stated query sets. Queries go through in blocks of about ``block``, each broadcast in turn and multiplied as a matrix
-    with the rows of a batch; a task keeps ``k`` a query, so what moves is ``k`` rows a query and task. NULL vectors and
-    those of another length than a query's are no neighbours.
-    """
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("v")).where(F.col(vector).isNotNull())
-    blocks = max(1, -(-asked.count() // block))
-    parts = [_nearest_block(vectors, asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i), k, key, vector) for i in range(blocks)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    def run(batches):
+        for b in batches:
+            lengths = b.v.map(len)
+            for n in sorted(set(lengths.tolist())):
+                part = b[lengths == n]
+                x = np.stack(part.v.to_numpy()).astype(np.float64).reshape(len(part), n)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                for a in range(0, len(part), PACK):
+                    yield pd.DataFrame({"dim": [n], "ids": [part.k.to_numpy(np.int64)[a : a + PACK].tobytes()], "v": [x[a : a + PACK].tobytes()]})
+
+    given = rows.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and k is not null")
+    return given.mapInPandas(run, "dim int, ids binary, v binary")
 
 
-def _nearest_block(vectors: DataFrame, asked: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    rows = asked.collect()  # one block
-    ids = np.array([r.query for r in rows], np.int64)
-    sizes = {len(r.v) for r in rows}
-    q = {n: (np.flatnonzero([len(r.v) == n for r in rows]), np.array([r.v for r in rows if len(r.v) == n], np.float64)) for n in sizes}
-    q = {n: (at, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)) for n, (at, m) in q.items()}
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, similarity, place): for each row of ``queries`` its ``k`` nearest other rows, exact, ties to the smaller key.
+
+    For stated query sets. Both sides are packed into matrices where they lie; matrices of one length meet by an equi-join, the
+    queries broadcast only if all of them take at most ``SHARED`` bytes. A product keeps ``k`` a query, found by partition and not by sorting, so what
+    moves is ``k`` rows a query and matrix. NULL vectors and those of another length than a query's are no neighbours.
+    """
+    asked = staged(_packed(queries, key, vector).select("dim", F.col("ids").alias("q_ids"), F.col("v").alias("q")), "queries")
+    size = asked.agg(F.sum(F.length("q"))).first()[0] or 0
+    met = _packed(vectors, key, vector).join(F.broadcast(asked) if size <= SHARED else asked.hint("shuffle_hash"), "dim")
 
     def run(batches):
-        qi, by = shared.value
-        best: list[list[tuple[float, int]]] = [[] for _ in qi]
         for b in batches:
-            length = b[vector].map(len)
-            for n, (at, m) in by.items():
-                part = b[length == n]
-                if not len(part):
-                    continue
-                x = np.stack(part[vector].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                keys = part[key].to_numpy()
-                for i, row in zip(at.tolist(), np.round(m @ x.T, 12), strict=True):
-                    order = np.lexsort((keys, -row))[: k + 1]
-                    best[i] = sorted(best[i] + [(-row[j], int(keys[j])) for j in order if keys[j] != qi[i]])[:k]
-        yield pd.DataFrame([(int(qi[i]), n, -s) for i, found in enumerate(best) for s, n in found], columns=["query", key, "similarity"])
-
-    return vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"query bigint, {key} bigint, similarity double")
+            for n, ids, v, q_ids, q in zip(b.dim, b.ids, b.v, b.q_ids, b.q, strict=True):
+                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                s = np.round(np.frombuffer(q).reshape(-1, n) @ np.frombuffer(v).reshape(-1, n).T, 12)
+                s[q_ids[:, None] == ids[None, :]] = -9.0
+                m = min(k, len(ids))
+                least = np.partition(s, len(ids) - m, axis=1)[:, len(ids) - m]
+                row, col = np.nonzero((s >= least[:, None]) & (s > -9.0))
+                order = np.lexsort((ids[col], -s[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                kept = place < k
+                yield pd.DataFrame({"query": q_ids[row[kept]], key: ids[col[kept]], "similarity": s[row[kept], col[kept]]})
+
+    found = met.mapInPandas(run, f"query bigint, {key} bigint, similarity double")
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def contains_all(text: Column, query: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import summary_terms
+from millrace.sources.staging import staged
 
 
 def word_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,9 +46,9 @@ def bigrams(docs: DataFrame, key: str, text: str, k: int = 8) -> DataFrame:
     inner = rows.where(F.size("w") > 1).select("k", F.posexplode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pos", "phrase"))
     inner = inner.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "pos")).alias("at"))
     ends = rows.select("k", F.get("w", F.lit(0)).alias("first"), F.element_at("w", -1).alias("last"), (F.size("w") - 1).alias("pos"))
-    ends = ends.repartitionByRange("k").sortWithinPartitions("k")
-    # neighbours of rows: lead within a partition of rows, and the first word of the next partition, one row a partition
-    part = ends.withColumn("p", F.spark_partition_id())
+    # neighbours of rows: lead within a partition of rows, and the first word of the next partition, one row a partition;
+    # stored, since both reads must see the same partitions
+    part = staged(ends.repartitionByRange("k").sortWithinPartitions("k").withColumn("p", F.spark_partition_id()), "row-ends")
     w = Window.partitionBy("p").orderBy("k")
     part = part.withColumn("next", F.lead("first").over(w))
     heads = part.groupBy("p").agg(F.min_by("first", "k").alias("head"))

@@ -25,7 +25,7 @@ def rx(column: str, pattern: str) -> str:
 
 TERMS = r"regexp_extract_all(lower(text), '\b[a-z]{3,}\b')"
 TF = f"select doc_id, term, count(*) tf, min(pos) first from (select doc_id, unnest({TERMS}) term, generate_subscripts({TERMS}, 1) pos from documents where text is not null) group by all"
-HASH = "list_reduce(list_prepend(0::bigint, list_transform(string_split({w}, ''), lambda c: unicode(c)::bigint)), lambda h, c: (h * 31 + c) % 4294967296)"
+HASH = "list_reduce(list_prepend(0::bigint, list_transform(list_filter(string_split({w}, ''), lambda c: c <> ''), lambda c: unicode(c)::bigint)), lambda h, c: (h * 31 + c) % 4294967296)"
 SIGNED = "(({x} + 2147483648) % 4294967296 - 2147483648)"
 
 
@@ -114,17 +114,6 @@ def lens_sql() -> str:
     return f"select entry_row, case when t is not null then list_extract([{names}], list_position(x, list_max(x))::int) end as lens from (select entry_row, t, [{', '.join(out)}] as x from (select entry_row, lower(title) t from feed_entries))"
 
 
-def record_sql(lens: str) -> str:
-    rule = extraction.RULES[lens]
-    kind = "case " + " ".join(f"when {rx('text', t)}" + (f" or {rx('url', u)}" if u else "") + f" then {q(n)}" for n, t, u in rule["kinds"]) + " end" if rule["kinds"] else "null::varchar"
-    cols = [f"{kind} as kind"]
-    for name, tries in rule["fields"]:
-        parts = [f"nullif(regexp_extract({s}, {q('(?i)' + p)}, {g}), '')" for s, p, g in tries]
-        cols.append(f"nullif(trim(coalesce({', '.join(parts)}), ' '), '') as {name}")
-    points = " + ".join(f"({x} is not null)::int" for x in rule["raise"])
-    return f"select *, least(95, {rule['base']} + {rule['step']} * ({points}))::int as confidence from (select opp_row, {', '.join(cols)} from ({COMPOSED}))"
-
-
 COMPOSED = r"""select opp_row, regexp_replace(concat_ws(' ', title, '. Due date:', due_date, '. Posted:', posted_date, 'by', organization, '. Phone: ' || contact_phone, contact_email, monetary_value, '.', description,
 'Journal: Review of ' || opportunity_type || '. By: Ann Lee, Bo Ray. doi: 10.10/' || opp_row || ' cited by: ' || (opp_row % 90) || '. Summary: ' || status || '.',
 'Company: ' || organization || '. Form: 10-K Quarter: Q' || (opp_row % 4 + 1) || '. Revenue: $' || (opp_row * 7)), '[\r\n\v]+', ' ', 'g') as text, coalesce(source_url, '') as url, coalesce(title, '') as title from opportunities"""
@@ -135,6 +124,146 @@ def all_words(query: str) -> str:
     return " and ".join(f"list_contains({FEED}, {q(w)})" for w in sorted({w for w in query_terms(query) if w not in SEARCH_STOP}))
 
 
+def m(pattern: str, group: int = 1, *columns: str) -> str:
+    """First match in the text or the columns given, trimmed."""
+    return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract({c}, {q('(?i)' + pattern)}, {group}), ' '), '')" for c in columns or ("text",)) + ")"
+
+
+def either(*patterns: str, group: int = 1, title: bool = False) -> str:
+    return "coalesce(" + ", ".join(m(p, group, *(("text", "title") if title else ("text",))) for p in patterns) + ")"
+
+
+def cases(rows: list[tuple[str, str]], title: bool = False) -> str:
+    return "case " + " ".join(f"when {rx('text', p)}" + (f" or {rx('title', p)}" if title else "") + f" then {q(n)}" for n, p in rows) + " end"
+
+
+def listed(rows: list[tuple[str, str]]) -> str:
+    return "concat_ws(', ', " + ", ".join(f"case when {rx('text', p)} then {q(n)} end" for n, p in rows) + ")"
+
+
+def opening(n: int) -> str:
+    return f"array_to_string(regexp_split_to_array(title, '\\s+')[1:{n}], ' ')"
+
+
+NUMBER = r"nullif(regexp_replace(coalesce(nullif(regexp_extract(text, '(?i)(?:phone|tel|call|contact|telephone)[:\s]*(\+?1?[\d\s\-\(\)]{10,})', 1), ''), regexp_extract(text, '(\+?1?[\d\s\-\(\)]{10,})', 1)), '[\s\-\(\)]', '', 'g'), '')"
+BODIES = "County|City|State|Department|Agency|District|Bureau|Office|Authority|Commission"
+TESTS = [("PFT", "pft|spirometry|pulmonary function|lung function"), ("DOT", "dot physical|cdl physical|department of transportation"), ("physical", "physical exam|pre-employment|pre employment"), ("drug test", "drug test|drug screening|drug screen|substance abuse"), ("audiometry", "audiometry|hearing test|hearing screening"), ("respirator", "respirator|fit test|respiratory protection"), ("vaccination", "vaccination|immunization|flu shot"), ("x-ray", "x-ray|radiology|imaging"), ("lab", "lab|laboratory|blood work")]
+EMPLOYER, INSURANCE = "employer|work comp|workers compensation|workers' comp", "insurance|in-network|blue cross|aetna|cigna|united"
+EMPLOYED = r"(?:employer|work comp|workers comp|workers' comp)[:\s]*\$?([\d,]+(?:\.\d{2})?)"
+DAY, SLASH = r"([A-Z][a-z]+ \d{1,2},?\s+\d{4})", r"(\d{1,2}/\d{1,2}/\d{4})"
+#: Written from the survey's inventory of patterns, apart from the operator: columns, signals, base and step.
+RECORDS: dict[str, tuple[dict[str, str], list[tuple[str, str]], int, int]] = {
+    "procurement": (
+        {
+            "kind": cases([("RFP", "rfp|request for proposal"), ("RFQ", "rfq|request for quotation|request for quote"), ("RFT", "rft|request for tender"), ("solicitation", "solicitation"), ("bid", "bid|itb"), ("tender", "tender"), ("procurement", "procurement|contract"), ("RFQ", "quote|quotation"), ("RFP", "proposal")], title=True),
+            "organization": f"coalesce({either(rf'(?:{BODIES})\s+(?:of|for)\s+([A-Z][a-zA-Z\s]+)', rf'([A-Z][a-zA-Z\s]+(?:{BODIES}))', r'(?:Department|Agency|Office)\s+of\s+([A-Z][a-zA-Z\s]+)', title=True)}, {opening(3)})",
+            "service": f"coalesce({either(r'(?:for|providing|offering|services?|contract for)\s+([a-zA-Z\s]+(?:services?|health|medicine|clinic|care|support|management|consulting))', r'([a-zA-Z\s]+(?:Health|Medicine|Services|Care|Support|Management|Consulting))', title=True)}, 'professional services')",
+            "due_date": either(r"(?:due date|deadline|closing|responses due|submission deadline|response due)[:\s]+" + DAY, r"(?:due|deadline|closing)[:\s]+" + SLASH, r"(?:due|deadline)[:\s]+(\d{4}-\d{2}-\d{2})", r"(?:due|deadline)[:\s]+(\d{1,2}\s+[A-Z][a-z]+,\s+\d{4})"),
+            "email": m(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0),
+            "phone": NUMBER,
+            "amount": m(r"\$[\d,]+(?:\.\d{2})?", 0),
+            "posted_date": either(r"(?:posted|published|date|created|issued)[:\s]+" + DAY, r"(?:posted|published|date)[:\s]+" + SLASH, r"(?:posted|published|date)[:\s]+(\d{4}-\d{2}-\d{2})"),
+            "status": f"coalesce({cases([('open', 'open|active|current|accepting proposals|accepting bids'), ('closed', 'closed|awarded|expired|complete|withdrawn'), ('active', 'pending|under review|evaluation')])}, 'unknown')",
+        },
+        [("procurement language", "kind is not null"), (".gov domain", rx("url", r"\.gov")), ("procurement portal", rx("url", r"sam\.gov|bonfire|planetbids|ionwave|bidnet|governmentbids|rfpdb")), ("includes deadline", "due_date is not null"), ("monetary value", "amount is not null"), ("active opportunity", "status = 'open'"), ("contact email", "email is not null"), ("contact phone", "phone is not null")],
+        35, 8,
+    ),
+    "provider": (
+        {
+            "name": f"coalesce({either(r'([A-Z][a-zA-Z\s]+(?:Clinic|Center|Health|Medicine|Medical|Occupational|Wellness|Care))', r'(?:provider|clinic|facility|practice|hospital)[:\s]+([A-Z][a-zA-Z\s]+)', r'([A-Z][a-zA-Z\s]+(?:Associates|Group|Partners))', title=True)}, {opening(2)})",
+            "address": either(r"(\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+,\s+[A-Z]{2}\s+\d{5})", r"(\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\s+[A-Z]{2}\s+\d{5})", r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+,\s+[A-Z]{2}\s+\d{5})"),
+            "city": r"case when contains(address, ', ') then coalesce(nullif(trim(regexp_split_to_array(string_split(address, ', ')[1], '\d+')[2], ' '), ''), string_split(address, ', ')[1]) end",
+            "state": r"case when contains(address, ', ') then nullif(regexp_extract(trim(string_split(address, ', ')[2], ' '), '^([A-Z]{2})', 1), '') end",
+            "zip": r"case when contains(address, ', ') then nullif(regexp_extract(string_split(address, ', ')[2], '(\d{5})', 1), '') end",
+            "phone": NUMBER,
+            "services": listed([("occupational health", "occupational health|occupational medicine|occ health"), ("DOT physical", TESTS[1][1]), ("drug testing", TESTS[3][1]), ("PFT", TESTS[0][1]), ("audiometry", TESTS[4][1]), ("respirator fit test", TESTS[5][1]), ("physical exams", TESTS[2][1]), ("vaccinations", "vaccination|immunization|flu shot|tb test"), ("x-ray services", TESTS[7][1]), ("laboratory services", TESTS[8][1])]),
+            "credentials": listed([("Board Certified", "board certified|board-certified"), ("Licensed", "licensed|licensure"), ("Accredited", "accredited|accreditation"), ("Certified", "certified|certification"), ("Fellow", "fellow")]),
+            "accepts_self_pay": rx("text", "self-pay|cash pay|out-of-pocket|private pay"),
+            "accepts_employer": rx("text", EMPLOYER),
+            "accepts_insurance": rx("text", INSURANCE),
+        },
+        [("physical address", "address is not null"), ("contact information", "phone is not null"), ("occupational services", "services <> ''"), ("credentials", "credentials <> ''"), ("accepts insurance", "accepts_insurance")],
+        35, 8,
+    ),
+    "pricing": (
+        {
+            "kind": cases(TESTS),
+            "name": f"coalesce({either(r'([A-Z][a-zA-Z\s]+(?:Clinic|Center|Health|Medicine|Medical))', r'(?:provider|clinic|facility|practice)[:\s]+([A-Z][a-zA-Z\s]+)', title=True)}, {opening(2)})",
+            "service": "coalesce(kind || ' testing', 'occupational health services')",
+            "price_cash": f"'$' || {either(r'(?:self-pay|cash|out-of-pocket|private pay)[:\s]*\$?([\d,]+(?:\.\d{2})?)', r'\$([\d,]+(?:\.\d{2})?)\s*(?:self-pay|cash|out-of-pocket)')}",
+            "price_employer": f"'$' || {either(EMPLOYED, r'\$([\d,]+(?:\.\d{2})?)\s*(?:employer|work comp)')}",
+            "price_range": f"'$' || {either(r'\$([\d,]+)\s*-\s*\$([\d,]+)', r'(?:from|between)\s*\$([\d,]+)\s*(?:and|to)\s*\$([\d,]+)')} || ' - $' || {either(r'\$([\d,]+)\s*-\s*\$([\d,]+)', r'(?:from|between)\s*\$([\d,]+)\s*(?:and|to)\s*\$([\d,]+)', group=2)}",
+            "payment_types": listed([("self-pay, cash", "self-pay|cash|out-of-pocket|private pay"), ("employer, work comp", EMPLOYER), ("insurance", INSURANCE)]),
+        },
+        [("self-pay mention", "price_cash is not null"), ("employer payment", "price_employer is not null"), ("service category", "kind is not null"), ("pricing document", rx("text", "fee schedule|price list|rate card|pricing"))],
+        35, 8,
+    ),
+    "legal": (
+        {
+            "kind": cases([("case law", r"court|ruling|judgment|decision|case law|v\.|vs\.|plaintiff|defendant"), ("statute", r"statute|act|bill|legislation|code|\d+\s+U\.S\.C\.|§\s+\d+"), ("regulation", "regulation|rule|compliance|requirement|standard"), ("compliance", "adhere|mandate")]),
+            "case_name": m(r"([A-Z][a-zA-Z\s&]+(?:v\.|vs\.|versus)[A-Z][a-zA-Z\s&]+)", 1, "text", "title"),
+            "court": m(r"(?:Court of|Supreme Court|District Court|Circuit Court|Appellate Court)\s+(?:the\s+)?([A-Z][a-zA-Z\s]+)"),
+            "jurisdiction": m(r"(?:Jurisdiction|State|Federal|Circuit)\s*[:\s]+([A-Z][a-zA-Z\s]+)"),
+            "citation": m(r"\d+\s+F\.\d+|\d+\s+U\.S\.\s+\d+|\d+\s+S\.Ct\.\s+\d+", 0),
+            "decision_date": either(r"(?:Decided|Decision Date|Date)\s*[:\s]+" + DAY, SLASH),
+            "statute_name": m(r"(?:Act|Statute|Code)\s+(?:of\s+)?([A-Z][a-zA-Z\s]+)"),
+            "regulation_number": m(r"(?:Regulation|Rule|CFR)\s*[:\s]+(\d+\s+CFR\s+\d+\.?\d*)"),
+        },
+        [("case name", "case_name is not null"), ("citation", "citation is not null"), ("court", "court is not null"), ("legal type", "kind is not null")],
+        40, 10,
+    ),
+    "medical": (
+        {
+            "kind": cases([("research", r"clinical trial|study|research|investigation|nct\d+"), ("clinical", "clinical|treatment|therapy|intervention|procedure"), ("diagnosis", "diagnosis|diagnostic|screening|test"), ("treatment", "medication|drug")]),
+            "condition": f"coalesce({m(r'(?:condition|disease|disorder|syndrome)\s*[:\s]+([A-Z][a-zA-Z\s]+)')}, {m(r'([A-Z][a-zA-Z\s]+(?:Disease|Disorder|Syndrome|Condition))', 1, 'title')})",
+            "treatment": m(r"(?:treatment|therapy)\s*(?:for|of)\s+([a-zA-Z\s]+)"),
+            "diagnosis": m(r"(?:diagnosis|diagnosed as)\s*[:\s]+([a-zA-Z\s]+)"),
+            "study_type": m(r"(?:study type|design)\s*[:\s]+([a-zA-Z\s]+)"),
+            "trial_id": m(r"NCT\d+", 0),
+            "publication_date": either(r"(?:Published|Publication Date)\s*[:\s]+" + DAY, SLASH),
+        },
+        [("condition", "condition is not null"), ("clinical trial ID", "trial_id is not null"), ("medical type", "kind is not null"), ("academic source", rx("url", r"\.edu\b")), ("government source", rx("url", r"\.gov\b"))],
+        40, 10,
+    ),
+    "academic": (
+        {
+            "kind": f"case when {rx('text', 'journal|article|paper')} or {rx('url', 'doi.org')} then 'journal' when {rx('text', 'conference|proceedings|symposium')} then 'conference' when {rx('text', 'thesis|dissertation|doctoral')} then 'thesis' when {rx('text', 'preprint|arxiv|biorxiv|medrxiv')} or {rx('url', 'arxiv.org')} then 'preprint' end",
+            "paper_title": "title",
+            "authors": f"array_to_string(list_transform(string_split({m(r'(?:Authors?|By)\s*[:\s]+([A-Z][a-zA-Z\s,]+)')}, ','), lambda x: trim(x, ' ')), ', ')",
+            "journal": m(r"(?:Journal|Published in)\s*[:\s]+([A-Z][a-zA-Z\s]+)"),
+            "publication_date": m(r"(?:Published|Date|Publication)[:\s]+" + DAY),
+            "doi": f"coalesce({m(r'doi[:\s]+(10\.\d+/[^\s]+)')}, nullif(regexp_extract(url, 'doi\\.org/(10\\.\\d+/[^\\s]+)', 1), ''))",
+            "citations": f"try_cast({m(r'(?:citations|cited by)[:\s]+(\d+)')} as bigint)",
+            "abstract": m(r"(?:Abstract|Summary)[:\s]+([^.]+\.)"),
+        },
+        [("academic type detected", "kind is not null"), ("DOI present", "doi is not null"), ("authors listed", "authors is not null"), ("journal specified", "journal is not null"), ("publication date", "publication_date is not null")],
+        35, 8,
+    ),
+    "financial": (
+        {
+            "kind": cases([("earnings", r"earnings|revenue|profit|income statement|q\d+|fiscal"), ("report", "financial report|annual report|10-k|10-q"), ("market", "market|stock|trading|equity|share"), ("economic", "economic|gdp|inflation|unemployment|federal reserve")]),
+            "company": f"coalesce({m(r'(?:Company|Corporation|Inc\.|LLC)\s*[:\s]+([A-Z][a-zA-Z\s]+)')}, {m(r'([A-Z][a-zA-Z\s]+(?:Inc\.|LLC|Corporation|Company))', 1, 'title')})",
+            "ticker": "coalesce(" + ", ".join(m(r"\(([A-Z]{1,5})\)|NYSE:\s*([A-Z]{1,5})|NASDAQ:\s*([A-Z]{1,5})", i) for i in (1, 2, 3)) + ")",
+            "report_type": m(r"(?:Report Type|Form)\s*[:\s]+([A-Z0-9-]+)"),
+            "period": m(r"(?:Period|Quarter|Fiscal Year)\s*[:\s]+([A-Z0-9\s]+)"),
+            "revenue": f"'$' || {m(r'(?:Revenue|Total Revenue)\s*[:\s]?\$?([\d,]+(?:\.\d{2})?)')}",
+            "profit": f"'$' || {m(r'(?:Profit|Net Income|Earnings)\s*[:\s]?\$?([\d,]+(?:\.\d{2})?)')}",
+            "eps": f"'$' || {m(r'(?:EPS|Earnings Per Share)\s*[:\s]?\$?([\d.]+)')}",
+        },
+        [("company name", "company is not null"), ("ticker", "ticker is not null"), ("revenue", "revenue is not null"), ("financial type", "kind is not null"), ("government source", rx("url", r"\.gov\b"))],
+        40, 10,
+    ),
+}
+
+
+def record_sql(lens: str) -> str:
+    columns, signals, base, step = RECORDS[lens]
+    points = " + ".join(f"coalesce({on}, false)::int" for _, on in signals)
+    names = "concat_ws(', ', " + ", ".join(f"case when {on} then {q(n)} end" for n, on in signals) + ")"
+    shown = ", ".join(columns)
+    return f"select opp_row, {shown}, {names} as signals, least(95, {base} + {step} * ({points}))::int as confidence from (select *, {', '.join(f'{c} as {n}' for n, c in columns.items() if n != 'paper_title' and not c.startswith('coalesce(kind') and not c.startswith('case when contains(address'))}{''.join(f', {c} as {n}' for n, c in columns.items() if n == 'paper_title' or c.startswith('coalesce(kind') or c.startswith('case when contains(address'))} from ({COMPOSED}))"
+
+
 STOP = "(" + ", ".join(q(w) for w in SUMMARY_STOP) + ")"
 
 
@@ -171,8 +300,8 @@ ORACLE: dict[str, str] = {
     "semantic_rerank": f"select doc_id, round(similarity, 6) similarity from ({cosine()}) order by round(similarity, 6) desc, doc_id limit 10",
     "hybrid_topk": f"""with b as ({bm25()}), c as ({cosine()}), j as (select b.doc_id, b.score bm25, coalesce(c.similarity, 0.0) cosine from b left join c using (doc_id)), m as (select greatest(max(bm25), 1.0) mb, greatest(max(cosine), 1.0) mc from j)
 select doc_id, round(bm25, 6) bm25, round(cosine, 6) cosine, round(0.5 * bm25 / mb + 0.5 * cosine / mc, 6) score from j, m order by score desc, doc_id limit 10""",
-    "hash_embedding_384": f"""with h as (select url, {HASH.format(w="regexp_replace(lower(coalesce(title, '')), '[\\s]+', ' ', 'g')")} h from feed_sources), r as (select url, i - 1 slot, ({SIGNED.format(x="(h * i) % 4294967296")} % 1000) / 1000.0 v from h, range(1, 385) t(i)),
-n as (select url, sqrt(sum(v * v)) n from r group by url) select url, slot::int slot, round(case when n > 0 then v / n else 0.0 end, 6) v from r join n using (url)""",
+    "hash_embedding_384": f"""with h as (select doc_id, {HASH.format(w="regexp_replace(lower(coalesce(text, '')), '[\\s\\x0B\\x{00A0}\\x{FEFF}]+', ' ', 'g')")} h from documents), r as (select doc_id, i - 1 slot, ({SIGNED.format(x="(h * i) % 4294967296")} % 1000) / 1000.0 v from h, range(1, 385) t(i)),
+n as (select doc_id, sqrt(sum(v * v)) n from r group by doc_id) select doc_id, slot::int slot, round(case when n > 0 then v / n else 0.0 end, 6) v from r join n using (doc_id)""",
     "cosine_topk": """with a as (select embedding e, vec_id i from embeddings order by vec_id limit 1) select vec_id, round(list_cosine_similarity(embedding::double[], a.e::double[]), 6) similarity from embeddings, a where vec_id <> a.i
 order by round(list_cosine_similarity(embedding::double[], a.e::double[]), 12) desc, vec_id limit 10""",
     "knn_label_join": """select query, vec_id, place::int place, round(s, 6) similarity, same_label from (select a.vec_id as query, b.vec_id, a.label = b.label as same_label, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) s,
@@ -195,7 +324,7 @@ where score > 0 order by score desc, doc_id limit 20""",
     "source_counts": "select source, count(*) n, count(distinct url) urls from results group by source",
     "usable_results": "select result_id from results where trim(coalesce(title, ''), ' ') <> '' and length(trim(coalesce(description, ''), ' ')) > 50",
     "union_sources": """select url, title, source, ord from (select url, title, source, arrival ord from results union all select url, title, 'small-web', entry_row + 1000000000 from feed_entries) where url <> '' and title <> '' qualify row_number() over (partition by url order by ord) = 1""",
-    "joined_texts": "select url, string_agg(description, ' ' order by arrival) as text from results where description is not null group by url",
+    "joined_texts": "select url, part, string_agg(description, ' ' order by arrival) as text from (select url, description, arrival, (row_number() over (partition by url order by arrival) - 1) // 1000 as part from results where description is not null) group by url, part",
     "page_signals": f"select doc_id, name, score from ({signal_rows(True)})",
     "page_confidence": f"select doc_id, greatest(0, least(coalesce(t, 0) + 40, 100))::int confidence from documents left join (select doc_id, sum(score) t from ({signal_rows(False)}) group by doc_id) using (doc_id)",
     "intelligence_summary": f"""with f as (select name, score, min(doc_id * 1000 + pos) spot from ({signal_rows(False)}) group by all) select count(*) n_signals, greatest(0, least(coalesce(sum(score), 0) + 40, 100))::int confidence,
@@ -219,7 +348,7 @@ select coalesce(new.id, old.id) id, case when new.id is not null then new.title
     "index_batch": f"select r.url as id, concat_ws(' ', r.title, r.description) as text, b.score from ({BOOSTED} order by score desc, arrival limit 20) b join results r using (result_id)",
     "rank_nudge": "select result_id, case when url in (select url from documents where url is not null) then greatest(1, rank - 1) else rank end as rank from results",
     "extract_entities": "select doc_id, " + ", ".join(f"{distinct_joined(p)} as {n}" for n, p in (("emails", extraction.EMAIL), ("phones", extraction.PHONE), ("urls", extraction.WEBSITE), ("dates", extraction.DATE), ("money", extraction.MONEY))) + " from documents where text is not null",
-    **{f"extract_{x}": record_sql(x) for x in extraction.RULES},
+    **{f"extract_{x}": record_sql(x) for x in RECORDS},
     "rss_parse": "select entry_row, trim(title, ' ') title, trim(url, ' ') link, trim(coalesce(description, ''), ' ') description from feed_entries where trim(title, ' ') <> '' and trim(url, ' ') <> ''",
     "engine_json_parse": "select result_id, title, url, coalesce(description, '') description, source from results where source like 'searxng-%' and title <> '' and url <> ''",
     "export_csv": "select " + " || ',' || ".join(csv(c) for c in ("title", "description", "url", "source")) + " as value from results",

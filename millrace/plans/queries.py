@@ -83,8 +83,8 @@ def hybrid_topk(spark, d):
 
 @query
 def hash_embedding_384(spark, d):
-    titles = table(spark, d, "feed_sources", "url", "title")
-    return titles.select("url", F.posexplode(retrieval.hash_embedding(F.coalesce("title", F.lit("")))).alias("slot", "v")).select("url", "slot", F.round("v", 6).alias("v"))
+    v = retrieval.hash_embedding(F.coalesce("text", F.lit("")))
+    return docs(spark, d).select("doc_id", F.posexplode(v).alias("slot", "v")).select("doc_id", "slot", F.round("v", 6).alias("v"))
 
 
 @query
@@ -221,9 +221,9 @@ def union_sources(spark, d):
 
 @query
 def joined_texts(spark, d):
-    """Descriptions of a URL joined in order of arrival."""
-    r = results(spark, d).where(F.col("description").isNotNull())
-    return r.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "description"))), lambda x: x["description"]), " ").alias("text"))
+    """Descriptions of a URL joined in order of arrival, in parts of up to 1,000 rows, so that a hot URL is no one task's."""
+    r = ranking.group_rank(results(spark, d).where(F.col("description").isNotNull()).select("url", "arrival", "description"), "url", F.asc("arrival"))
+    return r.groupBy("url", F.floor((F.col("rank_in_group") - 1) / 1000).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "description"))), lambda x: x["description"]), " ").alias("text"))
 
 
 # ── signals, lenses ──
@@ -373,22 +373,22 @@ def composed(spark, d):
 
 def _extract(name):
     def run(spark, d):
-        r = composed(spark, d).select("opp_row", extraction.record(name, F.col("text"), F.col("url"), F.col("title")).alias("r"))
-        return r.select("opp_row", "r.*")
+        r = composed(spark, d).select("opp_row", extraction.record(name, F.col("text"), F.col("url"), F.col("title")).alias("r")).select("opp_row", "r.*")
+        return r.select(*[F.array_join(c, ", ").alias(c) if t.startswith("array") else F.col(c) for c, t in r.dtypes])
 
     run.__name__ = f"extract_{name}"
     return run
 
 
-for _lens in extraction.RULES:
+for _lens in extraction.LENSES:
     query(_extract(_lens))
 
 
 @query
 def extract_routed(spark, d):
     dd = table(spark, d, "documents", "doc_id", "lens", "text", "url", "title")
-    r = dd.select("doc_id", "lens", extraction.route(F.col("lens"), F.substring("text", 1, 2_000_000_000), F.col("url"), F.col("title")).alias("r"))
-    return r.select("doc_id", "lens", F.coalesce(*[F.col(f"r.{x}.confidence") for x in extraction.RULES]).alias("confidence"))
+    r = dd.select("doc_id", "lens", extraction.route(F.col("lens"), F.col("text"), F.col("url"), F.col("title")).alias("r"))
+    return r.select("doc_id", "lens", F.coalesce(*[F.col(f"r.{x}.confidence") for x in extraction.LENSES]).alias("confidence"))
 
 
 # ── sources and sinks ──

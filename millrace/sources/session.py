@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,14 +27,15 @@ def build_session(master: str | None = None, app: str = "millrace", **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder all executors share, as the cluster names it in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """Folder all executors share, as the cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode (tests); on a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not named:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="millrace-", dir=os.environ.get("TMPDIR", "/tmp"))
-    have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not have.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Tables of fewer bytes are left as they are stored.
-SMALL = 500_000
+#: A single local file is spread over one task for each so many bytes, and over so many tasks at most.
+SPLIT, TASKS = 1 << 20, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """``<sf_dir>/<name>.parquet`` with only ``columns`` (all if none), so that the scan reads nothing else.
 
-    A file of one row group is one task's. Where a table has so few that most cores would idle, its rows are spread over
-    them; a table of as many splits as there are cores is read as it lies.
+    A file is read in as many tasks as it has row groups. A single local file (test tables) of few row groups is spread by its
+    size, which doesn't depend on the machine; a folder of files, as a table of any size is stored, is read as it lies.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
     if columns:
         df = df.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution()
-    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SMALL and 2 * plan.toRdd().getNumPartitions() < cores:
-        df = df.repartition(cores)
+    if os.path.isfile(path):
+        want, have = min(TASKS, os.path.getsize(path) // SPLIT), pq.ParquetFile(path).metadata.num_row_groups
+        if want > 2 * have:
+            df = df.repartition(want)
     return df

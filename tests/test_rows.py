@@ -116,7 +116,7 @@ def test_signals_and_records(spark):
 def test_extractors_survive_long_plain_text(spark):
     text = "word " * 6000 + "7 " + "Abc def " * 3000
     df = spark.createDataFrame([(text,)], "t string")
-    for lens in extraction.RULES:
+    for lens in extraction.LENSES:
         assert df.select(extraction.record(lens, F.col("t"), F.lit(""), F.lit("")).alias("r")).first().r.confidence >= 35
 
 
