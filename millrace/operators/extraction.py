@@ -15,7 +15,7 @@ from millrace.functions.text import first_match, found
 
 #: Before a pattern that begins with letters and spaces, or with a word: it can only match from the start of such.
 RUN = r"(?:^|[^a-zA-Z\s])\s*"
-WORD = r"(?<![a-zA-Z])"
+WORD = r"(?<![a-zA-Z])(?<![a-zA-Z]{2}\s{1,20})"
 
 # Patterns, matched in any case, with the kinds and labels that they stand for; bases and steps of confidence.
 PHONE_LABELLED = r"(?:phone|tel|call|contact|telephone)[:\s]*(\+?1?[\d\s\-\(\)]{10,})"
@@ -162,7 +162,9 @@ def _procurement(p: _Page) -> tuple[dict, list]:
 
 
 def _provider(p: _Page) -> tuple[dict, list]:
-    address = p.first(r"(\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+,\s+[A-Z]{2}\s+\d{5})", r"(\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\s+[A-Z]{2}\s+\d{5})", WORD + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+,\s+[A-Z]{2}\s+\d{5})")
+    # as fixed: a number and words, then state and code, with and without a comma, and words alone; runs of words are possessive, so that long ones need no stack
+    words = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)++"
+    address = p.first(rf"(\d+\s+{words},\s+[A-Z]{{2}}\s+\d{{5}})", r"(\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+(?=\s+[A-Z]))++\s+[A-Z]{2}\s+\d{5})", rf"{WORD}({words},\s+[A-Z]{{2}}\s+\d{{5}})")
     parts = F.split(address, ", ")
     street, rest, cut = F.get(parts, F.lit(0)), F.trim(F.get(parts, F.lit(1))), F.size(parts) >= 2
     f = {
