@@ -10,7 +10,7 @@ Vectors move as bytes: 8 bits an entry in buckets, 12 in blocks (an error of abo
 block beyond ``CHUNK`` rows is sorted and split by further hash coordinates; what a chunk boundary separates, the next
 rounds' common neighbours bring together. After the first round only links that are new count: the neighbours of a node that
 gained or is a new neighbour meet again, others don't, so a round moves about as much as the one before changed. Rounds end
-when few neighbours change. Number of buckets follows the number of rows, so work grows as rows times bucket size.
+when few neighbours change, after two at least. Number of buckets follows the number of rows, so work grows as rows times bucket size.
 """
 
 from __future__ import annotations
@@ -251,7 +251,7 @@ def _spread(blocks: DataFrame, size: int) -> DataFrame:
 def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = MOST) -> DataFrame:
     """(node, near ARRAY<BIGINT>): approximate best neighbours of each node of ``nodes`` (node, vector), best first.
 
-    Rounds follow each other until the share of neighbours that are new falls below ``DELTA``, at most ``rounds``.
+    Rounds follow each other, two at least, until the share of neighbours that are new falls below ``DELTA``, at most ``rounds``.
 
     Labels and visits go along the best ``keep`` less ``SPARE`` neighbours; those beyond are often chance finds far away.
     """
@@ -288,7 +288,7 @@ def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = MOST)
         made = made.join(old, "node", "left").withColumn("fresh", F.array_except(F.slice("near", 1, keep - SPARE), F.coalesce("old", F.array().cast("array<bigint>")))).drop("old")
         near = staged(made, f"neighbours-{r}")
         change = near.agg(F.sum(F.size("fresh")).alias("new"), F.sum(F.size(F.slice("near", 1, keep - SPARE))).alias("all")).first()
-        if (change["new"] or 0) <= DELTA * (change["all"] or 0):
+        if r > 1 and (change["new"] or 0) <= DELTA * (change["all"] or 0):  # the first round's lists replace ones of 8 bits, so its change says nothing yet
             break
     return near.select("node", "near")
 
