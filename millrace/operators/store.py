@@ -41,6 +41,19 @@ def delete(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return existing.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def cleared(table: DataFrame) -> DataFrame:
+    """An empty table of the same columns."""
+    return table.limit(0)
+
+
+def preferences_of(prefs: DataFrame, user: str, host: str | None = None, actions: list[str] | None = None) -> DataFrame:
+    """A user's preferences: all, those of one host (any spelling), or those of some actions."""
+    kept = prefs.where(F.col("user_id") == user)
+    if host is not None:
+        kept = kept.where(F.col("domain") == F.regexp_replace(F.lower(F.lit(host)), r"^www\.", ""))
+    return kept.where(F.col("action").isin(actions)) if actions is not None else kept
+
+
 def checked_preferences(prefs: DataFrame) -> DataFrame:
     """Preferences with a normalised domain; rows of another action or without user or domain are dropped."""
     d = F.regexp_replace(F.lower("domain"), r"^www\.", "")

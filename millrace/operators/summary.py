@@ -36,6 +36,22 @@ def key_points(docs: DataFrame, key: str, title: str, text: str) -> DataFrame:
     return docs.select(key, F.coalesce(F.get(sentences(F.col(text), 20), F.lit(0)), F.nullif(F.col(title), F.lit(""))).alias("point"))
 
 
+def assembled(docs: DataFrame, key: str, title: str, text: str, query: str) -> DataFrame:
+    """One row (summary, key_points, topics, confidence): the three best sentences after an opening, cut at 300 characters; key points of the first five rows, each once; topics; and 0.6 plus 0.05 a row, at most 0.95.
+
+    Each part is a top-k, so at most eight rows a part come together. Without any sentence the summary says so in general words.
+    """
+    best = ranked_sentences(docs, key, title, text).orderBy(F.desc(F.round("score", 6)), key, "pos").limit(3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("s"), F.col(key).alias("k"), "pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("said"))
+    points = key_points(docs.orderBy(key).limit(5), key, title, text).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "point"))), lambda x: x["point"])).alias("key_points"))
+    topics = bigrams(docs, key, text).agg(F.collect_list("phrase").alias("topics"))
+    n = docs.agg(F.least(F.lit(0.6) + F.count(F.lit(1)) * 0.05, F.lit(0.95)).alias("confidence"))
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    row = one(best).join(one(points), "__one").join(one(topics), "__one").join(one(n), "__one")  # one row each
+    opening = F.lit(f"{query} is a topic with extensive resources available across multiple platforms. ")
+    none = F.lit(f'Based on the search results for "{query}", multiple authoritative sources provide comprehensive information on this topic.')
+    return row.select(F.when(F.col("said") != "", F.substring(F.concat(opening, "said", F.lit(".")), 1, 300)).otherwise(none).alias("summary"), F.array_join("key_points", " | ").alias("key_points"), F.array_join("topics", " | ").alias("topics"), F.round("confidence", 6).alias("confidence"))
+
+
 def bigrams(docs: DataFrame, key: str, text: str, k: int = 8) -> DataFrame:
     """(phrase, n): pairs of neighbouring words that occur more than once, the ``k`` most frequent, ties by first occurrence.
 

@@ -352,6 +352,7 @@ select coalesce(new.id, old.id) id, case when new.id is not null then new.title
     "rss_parse": "select entry_row, trim(title, ' ') title, trim(url, ' ') link, trim(coalesce(description, ''), ' ') description from feed_entries where trim(title, ' ') <> '' and trim(url, ' ') <> ''",
     "engine_json_parse": "select result_id, title, url, coalesce(description, '') description, source from results where source like 'searxng-%' and title <> '' and url <> ''",
     "export_csv": "select " + " || ',' || ".join(csv(c) for c in ("title", "description", "url", "source")) + " as value from results",
+    "export_csv_metadata": '''select 0 as place, '"Metadata","Query: county ""services""","Lens: government","Timestamp: 2026-01-31T00:00:00Z","Results: ' || (select count(*) from results) || '"' as value union all select 1, 'title,url,description,source' union all select 2, ''' + " || ',' || ".join(csv(c) for c in ("title", "url", "description", "source")) + " from results",
     "idf_words": f"select word, round(weight, 6) weight from ({WEIGHTS})",
     "sentence_rank": f"select * from ({SCORED}) order by score desc, entry_row, pos limit 3",
     "sentence_scores": f"select entry_row, sentence, score from ({SCORED})",

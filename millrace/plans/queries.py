@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import urls as U
-from millrace.operators import extraction, ranking, retrieval, search, signals, state, store, summary
+from millrace.operators import extraction, ranking, retrieval, search, signals, store, summary
 from millrace.operators.instants import normalise_instants
 from millrace.plans import lens
 from millrace.sources import markup, sinks
@@ -424,8 +424,8 @@ def export_csv(spark, d):
 
 
 @query
-def export_json(spark, d):
-    return sinks.as_json_lines(results(spark, d).select("result_id", "url", "source"))
+def export_csv_metadata(spark, d):
+    return sinks.csv_with_metadata(results(spark, d), 'county "services"', "government", "2026-01-31T00:00:00Z", "title", "url", "description", "source")
 
 
 # ── summaries ──
@@ -459,17 +459,6 @@ def bigram_topics(spark, d):
     return summary.bigrams(_summary_rows(spark, d), "entry_row", "description")
 
 
-# ── state over events ──
-@query
-def rate_limit_decisions(spark, d):
-    return state.rate_limit(table(spark, d, "events", "event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3, 6 * 3600.0).select("user_id", "event_id", "allowed")
-
-
-@query
-def cache_ttl_replay(spark, d):
-    return state.cache_replay(table(spark, d, "events", "event_id", "user_id", "ts"), "user_id", "ts", "event_id", F.lit(86_400)).select("user_id", "event_id", "hit")
-
-
 # ── pipeline ──
 @query
 def search_general(spark, d):
@@ -493,6 +482,10 @@ def history_filter(spark, d):
 
 
 FLAGSHIP = search_general
-from millrace.plans.oracle import ORACLE  # noqa: E402
+from millrace.plans import rows as _rows  # noqa: E402
+from millrace.plans.oracle import ORACLE as _SQL  # noqa: E402
+
+QUERIES.update(_rows.QUERIES)
+ORACLE = {**_SQL, **_rows.ORACLE}
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
