@@ -28,6 +28,8 @@ from millrace.sources.staging import staged
 CHUNK, BUCKET, TABLES, PROBES, SPARE = 8192, 2048, 2, 2, 1
 #: Share of new neighbours below which rounds end, and rounds at most.
 DELTA, MOST = 0.01, 12
+#: Visits of a round that are broadcast to the vectors at most (24 bytes each); of more, the vectors move to them.
+SHARED = 1_000_000
 #: Bytes of vectors that a task sorts at most, if they are spread evenly.
 TASK = 64 << 20
 #: Rows of a product of matrices.
@@ -277,7 +279,8 @@ def graph(nodes: DataFrame, rows: int, dim: int, keep: int, rounds: int = MOST)
         one = pairs.join(one.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("l").alias("l"))
         one = staged(one, f"labels-{r}")
         visits = pairs.join(one.select(F.col("node").alias("other"), F.col("l").alias("block")), "other").select("block", "node").distinct()
-        visits = _parts(staged(visits, f"visits-{r}"))
+        visits = staged(_parts(staged(visits, f"visits-{r}")), f"parts-{r}")
+        visits = F.broadcast(visits) if visits.count() <= SHARED else visits
         vectors = nodes.select("node", "vector").mapInArrow(partial(packed, number=r), "node bigint, v binary, more bigint")
         part = F.when(F.col("parts").isNull(), F.col("block")).otherwise(F.xxhash64("block", F.pmod(F.xxhash64("more"), F.col("parts"))))
         blocks = _spread(visits.join(vectors, "node").select(part.alias("block"), "node", "v", "more"), rows * dim * 3)
