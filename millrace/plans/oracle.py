@@ -290,6 +290,10 @@ def csv(c: str) -> str:
     return f"'\"' || replace(coalesce({c}, ''), '\"', '\"\"') || '\"'"
 
 
+_PLANNED = sorted({w for x in L.PROCUREMENT_PLAN for w in query_terms(x.replace("{q}", "request for proposals road resurfacing")) if w not in ("site", "filetype", "gov", "com")})
+_SAID = "lower(concat_ws(' ', title, description))"
+ASKED_FIRST = FIRST.replace("where url is not null", f"where url <> '' and title <> '' and {has(_SAID, _PLANNED)}")
+
 ORACLE: dict[str, str] = {
     "term_frequency": f"select doc_id, term, tf from ({TF})",
     "document_frequency": f"select term, count(*) df from ({TF}) group by term",
@@ -339,13 +343,21 @@ coalesce(case when isnan(score) then null else score end, 1.0 / coalesce(rank, 1
     "opportunities_upsert": """with old as (select id, arg_max({'t': title, 's': status}, {'f': fetched_at, 'r': opp_row}) r, min(fetched_at) c from opportunities where opp_row % 2 = 0 group by id),
 new as (select id, arg_max({'t': title, 's': status, 'f': fetched_at}, {'f': fetched_at, 'r': opp_row}) r from opportunities where opp_row % 2 = 1 group by id)
 select coalesce(new.id, old.id) id, case when new.id is not null then new.r.t else old.r.t end title, case when new.id is not null then new.r.s else old.r.s end status, strftime(coalesce(old.c, new.r.f), '%Y-%m-%d %H:%M:%S') created from old full join new using (id)""",
-    "documents_upsert": "select id, title, lens, doc_id from documents qualify row_number() over (partition by id order by created_at desc, doc_id desc) = 1",
+    "documents_upsert": """with old as (select * from documents where doc_id % 4 <> 0 and id is not null qualify row_number() over (partition by id order by created_at desc, doc_id desc) = 1), new as (select * from documents where doc_id % 4 = 0 and id is not null qualify row_number() over (partition by id order by created_at desc, doc_id desc) = 1)
+select coalesce(new.id, old.id) id, case when new.id is not null then new.title else old.title end title, case when new.id is not null then new.lens else old.lens end lens, coalesce(new.doc_id, old.doc_id) doc_id, strftime(case when old.id is not null then old.created_at else new.created_at end, '%Y-%m-%d %H:%M:%S') created from old full join new on old.id = new.id""",
     "feed_upsert": """with old as (select * from feed_entries where entry_row % 3 <> 0 and id is not null qualify row_number() over (partition by id order by created_at desc, entry_row desc) = 1), new as (select * from feed_entries where entry_row % 3 = 0 and id is not null qualify row_number() over (partition by id order by created_at desc, entry_row desc) = 1)
 select coalesce(new.id, old.id) id, case when new.id is not null then new.title else old.title end title, case when new.id is not null then new.description else old.description end description, case when old.id is not null then old.category else new.category end category, coalesce(old.entry_row, new.entry_row) entry_row from old full join new on old.id = new.id""",
     "feed_touch": "select url, case when active then '2030-01-01 00:00:00' else strftime(last_fetched, '%Y-%m-%d %H:%M:%S') end last_fetched from feed_sources",
     "active_feed_entries": "select entry_row, feed_url from feed_entries where feed_url in (select url from feed_sources where active)",
     "feed_cascade_delete": "select entry_row, feed_url from feed_entries where feed_url is null or feed_url not in (select url from feed_sources where not active)",
-    "index_batch": f"select r.url as id, concat_ws(' ', r.title, r.description) as text, b.score from ({BOOSTED} order by score desc, arrival limit 20) b join results r using (result_id)",
+    "index_batch": f"""with b as (select *, row_number() over (order by score desc, arrival) rank from ({BOOSTED}) order by score desc, arrival limit 20), t as (select r.url as id, concat_ws(' ', r.title, r.description) as text, r.source, b.rank from b join results r using (result_id)),
+h as (select *, {HASH.format(w="regexp_replace(lower(text), '[\\s\\x0B\\x{00A0}\\x{FEFF}]+', ' ', 'g')")} h from t), v as (select *, list_transform(range(1, 385), lambda i: ({SIGNED.format(x="(h * i) % 4294967296")} % 1000) / 1000.0) v from h)
+select id, text, 'procurement' as lens, source, rank, 384 as dim, round(v[1] / n, 6) v0, round(v[384] / n, 6) v383 from (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) n from v)""",
+    "search_procurement": f"""with c as (select *, row_number() over (order by score desc, arrival) n from ({BOOSTED.replace(FIRST, ASKED_FIRST)}) order by score desc, arrival limit 30)
+select 'procurement' as lens, case when r.url in (select url from documents where url is not null) then greatest(1, c.n - 1) else c.n end::int as place, r.result_id, r.title, r.url, coalesce(nullif(r.domain, ''), {DOMAIN.replace("url,", "r.url,")}) as domain, r.source, c.score as boosted, null::double as similarity, null::double as spam_score,
+case when contains(lower(r.url), '.pdf') then 'pdf' when ends_with(lower(r.url), '.docx') then 'docx' else 'html' end as way, e.record_signals, g.confidence from c join results r using (result_id)
+join (select result_id, case when length(text) > 100 then signals end as record_signals from ({record_sql("procurement").replace("opp_row", "result_id").replace(COMPOSED.replace("opp_row", "result_id"), "select result_id, concat_ws(' ', title, description) as text, coalesce(url, '') as url, coalesce(title, '') as title from results").replace("select result_id, kind", "select result_id, text, kind")})) e using (result_id)
+join (select result_id, greatest(0, least(coalesce(t, 0) + 40, 100))::int confidence from results left join (select doc_id as result_id, sum(score) t from ({signal_rows(False).replace("from documents", "from (select result_id as doc_id, concat_ws(' ', title, description) as text from results)")}) group by doc_id) using (result_id)) g using (result_id)""",
     "rank_nudge": "select result_id, case when url in (select url from documents where url is not null) then greatest(1, rank - 1) else rank end as rank from results",
     "extract_entities": "select doc_id, " + ", ".join(f"{distinct_joined(p)} as {n}" for n, p in (("emails", extraction.EMAIL), ("phones", extraction.PHONE), ("urls", extraction.WEBSITE), ("dates", extraction.DATE), ("money", extraction.MONEY))) + " from documents where text is not null",
     **{f"extract_{x}": record_sql(x) for x in RECORDS},

@@ -298,9 +298,12 @@ def opportunities_upsert(spark, d):
 
 @query
 def documents_upsert(spark, d):
+    """Documents in two batches: a known id takes the new row, its creation time stays."""
     dd = table(spark, d, "documents", "doc_id", "id", "title", "lens", "created_at")
-    one = dd.groupBy("id").agg(F.max_by(F.struct("title", "lens", "doc_id"), F.struct("created_at", "doc_id")).alias("r"))
-    return one.select("id", "r.title", "r.lens", "r.doc_id")
+    order = F.struct("created_at", "doc_id")
+    old = store.last_of_batch(dd.where("doc_id % 4 <> 0"), ["id"], order)
+    new = store.last_of_batch(dd.where("doc_id % 4 = 0"), ["id"], order)
+    return store.upsert(old, new, ["id"], keep=["created_at"]).select("id", "title", "lens", "doc_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
 @query
@@ -333,9 +336,13 @@ def feed_cascade_delete(spark, d):
 
 @query
 def index_batch(spark, d):
-    """What the store takes from a search: id, text and the rank in the metadata, of the best twenty."""
-    top = ranking.top(_boosted(spark, d), 20, F.desc("score"), F.asc("arrival")).join(results(spark, d).select("result_id", "url", "title", "description"), "result_id")
-    return top.select(F.col("url").alias("id"), F.concat_ws(" ", "title", "description").alias("text"), "score")
+    """What the store takes from a search, of the best twenty: id, text, lens, source, metadata with the rank, and the first entries of the 384 of its hash embedding."""
+    top = ranking.top(_boosted(spark, d), 20, F.desc("score"), F.asc("arrival"))
+    top = ranking.global_rank(top, F.desc("score"), F.asc("arrival")).withColumnRenamed("rank", "place")
+    top = top.join(results(spark, d).select("result_id", "url", "title", "description", "source"), "result_id")
+    text = F.concat_ws(" ", "title", "description")
+    made = top.select(F.col("url").alias("id"), text.alias("text"), F.lit("procurement").alias("lens"), "source", F.to_json(F.struct(F.col("place").alias("rank"), "score")).alias("metadata"), retrieval.hash_embedding(text).alias("v"))
+    return made.select("id", "text", "lens", "source", F.get_json_object("metadata", "$.rank").cast("bigint").alias("rank"), F.size("v").alias("dim"), F.round(F.get("v", F.lit(0)), 6).alias("v0"), F.round(F.get("v", F.lit(383)), 6).alias("v383"))
 
 
 @query
@@ -462,12 +469,12 @@ def bigram_topics(spark, d):
 # ── pipeline ──
 @query
 def search_general(spark, d):
-    return search.search(results(spark, d), "drug screening services county", "government")
+    return search.search(results(spark, d), "drug screening services county", "government", known=table(spark, d, "documents", "url"))
 
 
 @query
 def search_procurement(spark, d):
-    return search.search(results(spark, d), "request for proposals road resurfacing")
+    return search.search(results(spark, d), "request for proposals road resurfacing", k=30, known=table(spark, d, "documents", "url"))
 
 
 @query
