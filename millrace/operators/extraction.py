@@ -156,8 +156,8 @@ def _procurement(p: _Page) -> tuple[dict, list]:
         "status": status,
     }
     return f, [
-        ("procurement language", f["kind"].isNotNull()), (".gov domain", found(p.url, r"\.gov")), ("procurement portal", found(p.url, r"sam\.gov|bonfire|planetbids|ionwave|bidnet|governmentbids|rfpdb")),
-        ("includes deadline", f["due_date"].isNotNull()), ("monetary value", f["amount"].isNotNull()), ("active opportunity", f["status"] == "open"), ("contact email", f["email"].isNotNull()), ("contact phone", f["phone"].isNotNull()),
+        ("procurement language", lambda r: r["kind"].isNotNull()), (".gov domain", found(p.url, r"\.gov")), ("procurement portal", found(p.url, r"sam\.gov|bonfire|planetbids|ionwave|bidnet|governmentbids|rfpdb")),
+        ("includes deadline", lambda r: r["due_date"].isNotNull()), ("monetary value", lambda r: r["amount"].isNotNull()), ("active opportunity", lambda r: r["status"] == "open"), ("contact email", lambda r: r["email"].isNotNull()), ("contact phone", lambda r: r["phone"].isNotNull()),
     ]
 
 
@@ -181,8 +181,8 @@ def _provider(p: _Page) -> tuple[dict, list]:
         "accepts_insurance": p.has(PAYERS["insurance"]),
     }
     return f, [
-        ("physical address", address.isNotNull()), ("contact information", f["phone"].isNotNull()), ("occupational services", F.size(f["services"]) > 0),
-        ("credentials", F.size(f["credentials"]) > 0), ("accepts insurance", f["accepts_insurance"]),
+        ("physical address", lambda r: r["address"].isNotNull()), ("contact information", lambda r: r["phone"].isNotNull()), ("occupational services", lambda r: F.size(r["services"]) > 0),
+        ("credentials", lambda r: F.size(r["credentials"]) > 0), ("accepts insurance", lambda r: r["accepts_insurance"]),
     ]
 
 
@@ -200,7 +200,7 @@ def _pricing(p: _Page) -> tuple[dict, list]:
         "price_range": F.concat(_dollars(low), F.lit(" - "), _dollars(high)),
         "payment_types": F.concat(*[F.when(p.has(x), F.array(*map(F.lit, said))).otherwise(F.array().cast("array<string>")) for x, said in ((cash, ("self-pay", "cash")), (PAYERS["employer"], ("employer", "work comp")), (PAYERS["insurance"], ("insurance",)))]),
     }
-    return f, [("self-pay mention", f["price_cash"].isNotNull()), ("employer payment", f["price_employer"].isNotNull()), ("service category", kind.isNotNull()), ("pricing document", p.has(r"fee schedule|price list|rate card|pricing"))]
+    return f, [("self-pay mention", lambda r: r["price_cash"].isNotNull()), ("employer payment", lambda r: r["price_employer"].isNotNull()), ("service category", lambda r: r["kind"].isNotNull()), ("pricing document", p.has(r"fee schedule|price list|rate card|pricing"))]
 
 
 def _legal(p: _Page) -> tuple[dict, list]:
@@ -214,7 +214,7 @@ def _legal(p: _Page) -> tuple[dict, list]:
         "statute_name": p.first(r"(?:Act|Statute|Code)\s+(?:of\s+)?([A-Z][a-zA-Z\s]+)"),
         "regulation_number": p.first(r"(?:Regulation|Rule|CFR)\s*[:\s]+(\d+\s+CFR\s+\d+\.?\d*)"),
     }
-    return f, [("case name", f["case_name"].isNotNull()), ("citation", f["citation"].isNotNull()), ("court", f["court"].isNotNull()), ("legal type", f["kind"].isNotNull())]
+    return f, [("case name", lambda r: r["case_name"].isNotNull()), ("citation", lambda r: r["citation"].isNotNull()), ("court", lambda r: r["court"].isNotNull()), ("legal type", lambda r: r["kind"].isNotNull())]
 
 
 def _medical(p: _Page) -> tuple[dict, list]:
@@ -227,7 +227,7 @@ def _medical(p: _Page) -> tuple[dict, list]:
         "trial_id": p.first(r"NCT\d+", group=0),
         "publication_date": p.first(r"(?:Published|Publication Date)\s*[:\s]+" + LONG_DATE, SLASHED),
     }
-    return f, [("condition", f["condition"].isNotNull()), ("clinical trial ID", f["trial_id"].isNotNull()), ("medical type", f["kind"].isNotNull()), ("academic source", found(p.url, r"\.edu\b")), ("government source", found(p.url, r"\.gov\b"))]
+    return f, [("condition", lambda r: r["condition"].isNotNull()), ("clinical trial ID", lambda r: r["trial_id"].isNotNull()), ("medical type", lambda r: r["kind"].isNotNull()), ("academic source", found(p.url, r"\.edu\b")), ("government source", found(p.url, r"\.gov\b"))]
 
 
 def _academic(p: _Page) -> tuple[dict, list]:
@@ -242,7 +242,7 @@ def _academic(p: _Page) -> tuple[dict, list]:
         "citations": p.first(r"(?:citations|cited by)[:\s]+(\d+)").try_cast("bigint"),
         "abstract": p.first(r"(?:Abstract|Summary)[:\s]+([^.]+\.)"),
     }
-    return f, [("academic type detected", f["kind"].isNotNull()), ("DOI present", f["doi"].isNotNull()), ("authors listed", authors.isNotNull()), ("journal specified", f["journal"].isNotNull()), ("publication date", f["publication_date"].isNotNull())]
+    return f, [("academic type detected", lambda r: r["kind"].isNotNull()), ("DOI present", lambda r: r["doi"].isNotNull()), ("authors listed", lambda r: r["authors"].isNotNull()), ("journal specified", lambda r: r["journal"].isNotNull()), ("publication date", lambda r: r["publication_date"].isNotNull())]
 
 
 def _financial(p: _Page) -> tuple[dict, list]:
@@ -257,7 +257,7 @@ def _financial(p: _Page) -> tuple[dict, list]:
         "profit": _dollars(p.first(r"(?:Profit|Net Income|Earnings)\s*[:\s]?\$?([\d,]+(?:\.\d{2})?)")),
         "eps": _dollars(p.first(r"(?:EPS|Earnings Per Share)\s*[:\s]?\$?([\d.]+)")),
     }
-    return f, [("company name", f["company"].isNotNull()), ("ticker", f["ticker"].isNotNull()), ("revenue", f["revenue"].isNotNull()), ("financial type", f["kind"].isNotNull()), ("government source", found(p.url, r"\.gov\b"))]
+    return f, [("company name", lambda r: r["company"].isNotNull()), ("ticker", lambda r: r["ticker"].isNotNull()), ("revenue", lambda r: r["revenue"].isNotNull()), ("financial type", lambda r: r["kind"].isNotNull()), ("government source", found(p.url, r"\.gov\b"))]
 
 
 _MAKERS = {"procurement": _procurement, "provider": _provider, "pricing": _pricing, "legal": _legal, "medical": _medical, "academic": _academic, "financial": _financial}
@@ -274,9 +274,13 @@ def record(lens: str, text: Column, url: Column, title: Column) -> Column:
     """STRUCT of a lens's fields (trimmed, NULL if absent), ``signals`` (names of those that hold, in order) and ``confidence``, which each signal raises up to 95."""
     fields, signals = _MAKERS[lens](_Page(text, url, title))
     base, step = CONFIDENCE[lens]
-    points = sum((F.coalesce(on, F.lit(False)).cast("int") for _, on in signals), F.lit(0))
-    named = F.array_compact(F.array(*[F.when(on, name) for name, on in signals]))
-    return F.struct(*[c.alias(n) for n, c in fields.items()], named.alias("signals"), F.least(F.lit(95), base + step * points).alias("confidence"))
+
+    def finished(r: Column) -> Column:
+        named = F.array_compact(F.array(*[F.when(on(r) if callable(on) and not isinstance(on, Column) else on, name) for name, on in signals]))
+        return F.struct(*[r[n].alias(n) for n in fields], named.alias("signals"), F.least(F.lit(95), base + step * F.size(named)).alias("confidence"))
+
+    # the fields are found once, though signals and confidence name them again
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in fields.items()])), finished), F.lit(0))
 
 
 def route(lens: Column, text: Column, url: Column, title: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: A single local file is spread over one task for each so many bytes, and over so many tasks at most.
-SPLIT, TASKS = 1 << 20, 64
+SPLIT, TASKS = 1 << 17, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
