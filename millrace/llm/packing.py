@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from millrace.llm.tokens import DEFAULT_VOCAB, encoder
 
 
+#: Members at which a container closes though it has space, so that empty texts don't pile up in one.
+MEMBERS = 65_536
+
+
 class OpenBins:
     """At most ``limit`` open containers of ``capacity``; ``add`` returns containers that closed."""
 
@@ -48,7 +52,7 @@ class OpenBins:
                 closed.append(self._take((self.spaces & -self.spaces).bit_length() - 1))
             free, members = self.capacity, []
         members.append(item)
-        if free == size:
+        if free == size or len(members) >= MEMBERS:
             closed.append(members)
         else:
             self._put(free - size, members)
